@@ -244,7 +244,7 @@ _STATEMENTS = {
     ),
     "commit_times": (
         ["times"],
-        "SELECT project, sha, min(at) AS secs, count(*) AS n FROM times GROUP BY project, sha",
+        "SELECT project, sha, min(secs) AS secs, count(*) AS n FROM times GROUP BY project, sha",
     ),
     "listed_without_time": (
         ["listed", "commits"],

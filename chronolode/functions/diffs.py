@@ -1,12 +1,9 @@
 """Line counts of unified diff text (F1, F2).
 
-A line counts as added when it starts with one ``+`` but not with three, as
-deleted likewise for ``-``; ``\\r`` is dropped first and only ``\\n`` ends a line.
-
-Every line start follows a ``\\n`` once one is put in front, so the number of
-lines starting with a mark is the number of bytes that vanish with ``\\n<mark>``,
-divided by its length. That needs no array of lines and no lambda: four byte-level
-replaces inside generated code.
+A line counts as added when it starts with one ``+`` but not with three, as deleted
+likewise for ``-``. Carriage returns count for nothing, wherever they stand, and only a
+line feed ends a line. One regular expression says all that, so no array of lines is
+built: ``m`` anchors at line starts, ``d`` leaves ``\\n`` as the only line end.
 """
 
 from __future__ import annotations
@@ -15,17 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _starts(lines: Column, mark: str) -> Column:
-    token = "\n" + mark
-    gone = F.octet_length(lines) - F.octet_length(F.replace(lines, F.lit(token), F.lit("")))
-    # A token is 2 or 4 bytes long.
-    return F.shiftright(gone, len(token) // 2)
-
-
 def _marked(diff: Column, mark: str) -> Column:
-    lines = F.concat(F.lit("\n"), F.replace(diff, F.lit("\r"), F.lit("")))
-    count = _starts(lines, mark) - _starts(lines, mark * 3)
-    return F.coalesce(count, F.lit(0)).cast("bigint")
+    start = rf"(?dm)^\r*+[{mark}](?!\r*+[{mark}]\r*+[{mark}])"
+    return F.coalesce(F.regexp_count(diff, F.lit(start)), F.lit(0)).cast("bigint")
 
 
 def lines_added(diff: Column) -> Column:

@@ -22,19 +22,19 @@ def first_listings(listed: DataFrame, *order: str) -> DataFrame:
     return listed.groupBy("project", "sha").agg(first).select("project", "sha", "first.*")
 
 
+LISTING = ["sha", "authorName", "author", "refactorings"]
+
+
+def listing_fields(commit: str) -> list[Column]:
+    """Columns of one listing out of a chunk's commit struct."""
+    return [F.col(f"{commit}.sha1").alias("sha"), *[F.col(f"{commit}.{c}") for c in LISTING[1:]]]
+
+
 def merge_chunks(chunk_files: DataFrame, dedup: bool = False) -> DataFrame:
     """All commits of all valid chunk files; hashes repeat unless ``dedup``."""
     listed = chunk_files.select(
         "project", "file", F.posexplode("commits").alias("pos", "c")
-    ).select(
-        "project",
-        F.col("c.sha1").alias("sha"),
-        "c.authorName",
-        "c.author",
-        "c.refactorings",
-        "file",
-        "pos",
-    )
+    ).select("project", *listing_fields("c"), "file", "pos")
     return first_listings(listed, "file", "pos") if dedup else listed
 
 

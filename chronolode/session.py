@@ -15,6 +15,8 @@ SQL_SETTINGS = {
     # Left sides keyed by commit or project may be skewed; their right sides are
     # unique per key, so splitting the left side is always possible.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Hash instead of sort where every partition of a join is measured to fit.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Rerunning a job replaces only the projects it produced.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

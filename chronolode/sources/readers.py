@@ -52,21 +52,19 @@ def read_projects(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 def read_commits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Exported commit log with parsed times; texts are kept beside the instants."""
-    return with_times(read_table(spark, path, schemas.COMMIT_LOG, fmt))
+    return with_hash(with_times(read_table(spark, path, schemas.COMMIT_LOG, fmt)))
 
 
 def with_times(log: DataFrame) -> DataFrame:
     author, committer = strip(F.col("author_date")), strip(F.col("committer_date"))
-    return with_hash(
-        log.withColumns(
-            {
-                "sha": strip(F.col("sha")),
-                "author_name": strip(F.col("author_name")),
-                "author_ts": parse_author_time(author),
-                "author_tz": offset_of(author),
-                "committer_ts": parse_committer_time(committer),
-            }
-        )
+    return log.withColumns(
+        {
+            "sha": strip(F.col("sha")),
+            "author_name": strip(F.col("author_name")),
+            "author_ts": parse_author_time(author),
+            "author_tz": offset_of(author),
+            "committer_ts": parse_committer_time(committer),
+        }
     )
 
 

@@ -9,13 +9,14 @@ kept per hash; repeated hashes are removed on request when the table is read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from .. import schemas
-from ..operators.refactorings import first_listings, merge_chunks
+from ..operators.refactorings import first_listings, listing_fields
 from ..session import shared_dir
 from ..sources.readers import chunk_options, tag_chunks, valid_chunk
 
-_LANDED = "refactoring_commits"
-_REJECTS = "rejects"
+_LANDED = f"{schemas.REFACTORING_COMMITS}, file string, pos int, batch bigint, valid boolean"
 
 
 def ingest_chunks(
@@ -26,7 +27,11 @@ def ingest_chunks(
     multi_line: bool = True,
     files_per_batch: int = 10_000,
 ) -> None:
-    """Read the chunk files of ``<source>/<project>/`` that are new since the last run."""
+    """Read the chunk files of ``<source>/<project>/`` that are new since the last run.
+
+    Listings and rejects leave in one pass over the files, as two partitions of the
+    target.
+    """
     checkpoint = checkpoint or f"{shared_dir(spark)}/ingest-checkpoint"
     raw = tag_chunks(
         spark.readStream.schema(schemas.CHUNK_FILE)
@@ -34,20 +39,22 @@ def ingest_chunks(
         .option("maxFilesPerTrigger", files_per_batch)
         .json(source)
     )
+    commits = F.when(F.col("valid"), F.col("commits"))
+    landing = (
+        raw.withColumn("valid", valid_chunk())
+        .select("project", "file", "valid", F.posexplode_outer(commits).alias("pos", "c"))
+        # A valid file without commits leaves nothing, a broken one its name.
+        .where(~F.col("valid") | F.col("pos").isNotNull())
+        .select("project", *listing_fields("c"), "file", "pos", "valid")
+    )
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        # Multi-line files are parsed once and both tables written from that.
-        batch.persist()
-        try:
-            ok = merge_chunks(batch.where(valid_chunk()))
-            bad = batch.where(~valid_chunk()).select("project", "file").distinct()
-            for part, name in ((ok, _LANDED), (bad, _REJECTS)):
-                part.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+            "valid"
+        ).parquet(f"{target}/batch={batch_id}")
 
     query = (
-        raw.writeStream.foreachBatch(land)
+        landing.writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -55,14 +62,17 @@ def ingest_chunks(
     query.awaitTermination()
 
 
+def _landed(spark: SparkSession, target: str, valid: bool) -> DataFrame:
+    landed = spark.read.schema(_LANDED).parquet(target)
+    return landed.where(F.col("valid") == valid).drop("valid")
+
+
 def landed_commits(spark: SparkSession, target: str, dedup: bool = False) -> DataFrame:
     """Every landed listing; with ``dedup`` the first listing of each hash."""
-    schema = f"{schemas.REFACTORING_COMMITS}, file string, pos int, batch bigint"
-    landed = spark.read.schema(schema).parquet(f"{target}/{_LANDED}")
+    landed = _landed(spark, target, valid=True)
     return first_listings(landed, "batch", "file", "pos") if dedup else landed
 
 
 def landed_rejects(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.schema("project string, file string, batch bigint").parquet(
-        f"{target}/{_REJECTS}"
-    )
+    """Files that could not be used, each once however many broken records it gave."""
+    return _landed(spark, target, valid=False).select("project", "file").distinct()
