@@ -126,9 +126,9 @@ def read_file_changes(spark: SparkSession, path: str, fmt: str = "parquet") -> D
 def read_loc_reports(spark: SparkSession, path: str) -> DataFrame:
     """Line reports of ``<path>/<project>/<sha>.json``, arrays of ``{Name, Lines}``.
 
-    Read as whole texts, because the three outcomes must stay apart: an empty report
-    is a measured snapshot without lines, a malformed one is a failed tool, and no
-    file at all is no snapshot.
+    Read as whole texts, because the three outcomes must stay apart: an empty array is
+    a measured snapshot without lines, a malformed text is a failed tool, and no file at
+    all is no snapshot. Spark skips files of zero bytes, so those count as no snapshot.
     """
     body = F.from_json("value", schemas.LOC_REPORT_BODY)
     return (
