@@ -25,8 +25,10 @@ def diff_line_counts(file_changes: DataFrame) -> DataFrame:
     )
 
 
-def commit_diff_stats(file_changes: DataFrame) -> DataFrame:
-    """Totals per commit over every changed file, same-named ones included."""
+_TOTALS = ["files_added", "files_deleted", "lines_added", "lines_deleted", "changed"]
+
+
+def _totals(file_changes: DataFrame) -> DataFrame:
     return (
         diff_line_counts(file_changes)
         .groupBy("project", "sha")
@@ -36,10 +38,16 @@ def commit_diff_stats(file_changes: DataFrame) -> DataFrame:
             F.sum("lines_added").alias("lines_added"),
             F.sum("lines_deleted").alias("lines_deleted"),
             F.count(F.lit(1)).alias("changed"),
+            F.max("pos").alias("_last_pos"),
         )
     )
 
 
+def commit_diff_stats(file_changes: DataFrame) -> DataFrame:
+    """Totals per commit over every changed file, same-named ones included."""
+    return _totals(file_changes).select("project", "sha", *_TOTALS)
+
+
 def file_diffs(file_changes: DataFrame, content: bool = True) -> DataFrame:
     """One row per commit and file name: the last change wins, the first place stays.
 
@@ -90,31 +98,35 @@ def commit_diffs(
 ) -> DataFrame:
     """Nested diff record of every commit with a parent and at least one changed file.
 
-    Every part of a split commit repeats the commit's totals.
+    Every part of a split commit repeats the commit's totals. It is the totals that are
+    multiplied by part and meet the maps where those already are: the diff texts are not
+    shuffled again for them, and the parts of a huge commit stay spread.
     """
     described = with_parent(commits).select(
         "project",
         "sha",
-        "pos",
+        F.col("pos").alias("commit_pos"),
         "previous_hash",
         F.col("author_name").alias("author"),
         F.col("author_date").alias("date"),
         "message",
     )
-    totals = ["files_added", "files_deleted", "lines_added", "lines_deleted", "changed"]
-    headed = described.join(commit_diff_stats(file_changes), ["project", "sha"])
+    last = F.expr(f"_last_pos div {int(files_per_record)}")
+    headed = described.join(_totals(file_changes), ["project", "sha"]).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+    )
     return (
         file_diff_map(file_changes, files_per_record)
-        .join(headed, ["project", "sha"])
+        .join(headed, ["project", "sha", "part"])
         .select(
             "project",
-            "pos",
+            F.col("commit_pos").alias("pos"),
             "part",
             F.col("sha").alias("commit_hash"),
             F.col("previous_hash").alias("previous_commit_hash"),
             "author",
             "date",
             "message",
-            F.struct(*totals, "file_diffs").alias("diff_stats"),
+            F.struct(*_TOTALS, "file_diffs").alias("diff_stats"),
         )
     )

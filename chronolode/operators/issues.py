@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .membership import only_in
+from .membership import forget_partitioning, only_in
 
 PAGE_SIZE = 100
 _REPO = ["owner", "repo"]
@@ -45,6 +45,7 @@ def mark_pages(pages: DataFrame, full: int = PAGE_SIZE) -> DataFrame:
         .agg(F.min("page").alias("_stop"))
     )
     before = F.col("_stop").isNull() | (F.col("page") <= F.col("_stop"))
+    stops = forget_partitioning(stops, *_REPO)
     return pages.join(stops, _REPO, "left").withColumn("kept", good & before).drop("_stop")
 
 

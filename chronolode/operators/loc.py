@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import is_programming_language, or_default
 from ..functions.authors import NO_HASH, UNKNOWN
 from .commits import first_parent
-from .membership import with_hash
+from .membership import forget_partitioning, with_hash
 
 OK = "ok"
 TOOL_FAILED = "tool_failed"
@@ -55,9 +55,10 @@ def loc_delta(commits: DataFrame, totals: DataFrame) -> DataFrame:
 
     ``previous_hash`` is set only where both snapshots were measured; elsewhere the
     change is 0. ``log_author`` is the author in the log in every case. Both joins
-    read the same aggregate of ``totals``, which is unique per commit, so hot parents
-    only ever skew the left side.
+    read the same shuffle of ``totals``. These are unique per commit, so a parent with
+    very many children skews the left side only, which can be split.
     """
+    totals = forget_partitioning(totals, "sha")
     current = totals.select(
         "project", "sha", F.col("status").alias("_status"), F.col("loc").alias("_loc")
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
+from ..operators.membership import forget_partitioning
+
 # Entries in one JSON object; longer maps are written as several objects.
 ENTRIES_PER_OBJECT = 1000
 
@@ -33,7 +35,7 @@ def object_parts(
     """
     parts = df.groupBy(by).agg(F.expr(f"1 + (count(1) - 1) div {int(limit)}").alias("_parts"))
     return (
-        df.join(parts, by)
+        forget_partitioning(df.join(forget_partitioning(parts, by), by), by)
         .withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts")))
         .groupBy(by, "part")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))

@@ -6,10 +6,13 @@ import pytest
 
 from checks import tables as t
 from checks.queries import QUERIES
+from chronolode.functions import PROGRAMMING_LANGUAGES
 from chronolode.operators import diffs as D
+from chronolode.operators import issues as I
 from chronolode.operators import loc as L
+from chronolode.operators import membership as M
 from chronolode.operators import refactorings as R
-from chronolode.functions import PROGRAMMING_LANGUAGES
+from chronolode.sources.writers import object_parts
 
 SF = "/root/testdata/sf0.001"
 # These two write and read files; their own plans are covered by the file tests.
@@ -64,19 +67,17 @@ def test_diff_text_stays_out_of_the_shuffle(landed):
     assert "SortAggregate" not in numbers
 
 
-def test_change_needs_one_shuffle_per_input_and_one_for_parents(landed):
-    df = L.loc_delta(landed("commits"), L.snapshot_loc(landed("loc_reports")))
-    kinds = ("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark = df.sparkSession
-    before = spark.conf.get(kinds[0])
-    spark.conf.set(*kinds)
+def test_both_lookups_of_totals_share_one_scan_and_shuffle(spark, landed):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
+        df = L.loc_delta(landed("commits"), L.snapshot_loc(landed("loc_reports")))
         df.collect()
         text = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     finally:
-        spark.conf.set(kinds[0], before)
-    # The totals are aggregated once and their shuffle is read twice.
-    assert "ReusedExchange" in text or text.count("Scan parquet") == 2
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("ReusedExchange") == 1
+    assert text.count("FileScan") == 2
 
 
 def test_report_reads_no_unused_column(landed):
@@ -84,30 +85,79 @@ def test_report_reads_no_unused_column(landed):
     assert "n_lines" not in re.search(r"ReadSchema: (.*)", text).group(1)
 
 
-def test_skewed_join_side_is_split(spark):
-    """A commit listed a hundred thousand times does not stay in one task."""
-    hot = spark.range(200_000).selectExpr(
-        "'p' project", "if(id % 10 < 9, 'hot', concat('s', id)) sha"
-    )
-    delta = spark.range(200_000).where("id % 10 = 9").selectExpr(
+HOT_KEY = "if(id % 10 < 9, 'hot', concat('s', id))"
+REST = "id % 10 = 9"
+
+
+def tloc_of_a_hot_commit(ids):
+    delta = ids.where(REST).selectExpr(
         "'p' project",
-        "concat('s', id) sha",
+        f"{HOT_KEY} sha",
         "cast(null as string) previous_hash",
         "0L tloc",
         "'x' log_author",
     )
+    return L.tloc_report(ids.selectExpr("'p' project", f"{HOT_KEY} sha"), delta)
+
+
+def children_of_a_hot_parent(ids):
+    commits = ids.selectExpr(
+        "'p' project", "cast(id as string) sha", f"array({HOT_KEY}) parents", "'x' author_name"
+    )
+    reports = ids.where(REST).selectExpr(
+        "'p' project", f"{HOT_KEY} sha", "'ok' status", "'Go' language", "id n_lines"
+    )
+    return L.loc_delta(commits, L.snapshot_loc(reports))
+
+
+def pages_of_a_hot_repository(ids):
+    n_items = f"if({REST}, 1L, 100L) n_items"
+    return I.mark_pages(
+        ids.selectExpr("'o' owner", f"{HOT_KEY} repo", "id page", "200 status", n_items)
+    )
+
+
+def commits_of_a_hot_project(ids):
+    names = ids.where(REST).selectExpr(f"{HOT_KEY} project")
+    return M.listed_projects(ids.selectExpr(f"{HOT_KEY} project", "id"), names)
+
+
+def commits_of_a_hot_unfinished_project(ids):
+    names = ids.where(REST).selectExpr(f"{HOT_KEY} project")
+    return M.unprocessed_projects(ids.selectExpr(f"{HOT_KEY} project", "id"), names)
+
+
+def authors_of_a_hot_project(ids):
+    efforts = ids.selectExpr(f"{HOT_KEY} project", "cast(id as string) author", "id effort")
+    return object_parts(efforts, "project", "author", "effort", "efforts")
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        tloc_of_a_hot_commit,
+        children_of_a_hot_parent,
+        pages_of_a_hot_repository,
+        commits_of_a_hot_project,
+        commits_of_a_hot_unfinished_project,
+        authors_of_a_hot_project,
+    ],
+)
+def test_a_hot_key_does_not_stay_in_one_task(spark, query):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0",
+        # Small map stages would be coalesced into one task, and a task is not split.
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
     }
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        df = L.tloc_report(hot, delta)
+        df = query(spark.range(100_000))
         df.collect()
         text = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     finally:
