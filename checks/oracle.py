@@ -120,7 +120,7 @@ _VIEWS = {
                count(*) AS changed
         FROM counted GROUP BY project, sha""",
     "last_wins": """
-        SELECT project, sha, filename, first_pos AS pos, nullif(diff, '') AS diff_content,
+        SELECT project, sha, filename, first_pos AS pos, pos AS last_pos, nullif(diff, '') AS diff_content,
                lines_added, lines_deleted
         FROM (SELECT *, min(pos) OVER (PARTITION BY project, sha, filename) AS first_pos,
                      row_number() OVER (PARTITION BY project, sha, filename ORDER BY pos DESC) AS back
@@ -293,7 +293,7 @@ _STATEMENTS = {
                   || ',"changed":' || s.changed || ',"file_diffs":{' || f.entries || '}}' AS diff_stats
            FROM commits c
            JOIN stats s ON s.project = c.project AND s.sha = c.sha
-           JOIN (SELECT project, sha, pos // 1000 AS part,
+           JOIN (SELECT project, sha, last_pos // 1000 AS part,
                         string_agg(to_json(filename) || ':{'
                             || coalesce('"diff_content":' || to_json(diff_content) || ',', '')
                             || '"lines_added":' || lines_added || ',"lines_deleted":' || lines_deleted

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import diff_content, lines_added, lines_deleted
 from .commits import with_parent
+from .membership import forget_partitioning
 
 # Files in one nested record; a commit with more files is written as several parts.
 FILES_PER_RECORD = 1000
@@ -68,6 +69,69 @@ def file_diffs(file_changes: DataFrame, content: bool = True) -> DataFrame:
     )
 
 
+def _files(file_changes: DataFrame, part: Column) -> DataFrame:
+    diff = F.struct(
+        diff_content(F.col("diff")).alias("diff_content"),
+        lines_added(F.col("diff")).alias("lines_added"),
+        lines_deleted(F.col("diff")).alias("lines_deleted"),
+    )
+    return file_changes.select(
+        "project", "sha", part, F.struct("pos", "filename", diff.alias("diff")).alias("file")
+    )
+
+
+def _fates(file_changes: DataFrame, part: Column) -> DataFrame:
+    """Per change, without its text: does it win, and where does its name come first?"""
+    name = ["project", "sha", "filename"]
+    changes = file_changes.select(*name, "pos")
+    spans = changes.groupBy(*name).agg(
+        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
+    )
+    wins = (F.col("pos") == F.col("last_pos")).alias("wins")
+    return changes.join(forget_partitioning(spans, *name), name).select(
+        "project", "sha", part, F.struct("pos", "first_pos", wins).alias("fate")
+    )
+
+
+def _gathered(file_changes: DataFrame, files_per_record: int, heads: DataFrame | None) -> DataFrame:
+    """One row per commit and part with its file map, and with its head if there are heads.
+
+    Texts, fates and heads are stacked and grouped once. So every text is shuffled one
+    time only, and no join has to sort the gathered texts.
+    """
+    part = F.expr(f"pos div {int(files_per_record)}").alias("part")
+    rows = _files(file_changes, part).unionByName(
+        _fates(file_changes, part), allowMissingColumns=True
+    )
+    found = [
+        F.array_sort(F.collect_list("file")).alias("_files"),
+        F.array_sort(F.collect_list("fate")).alias("_fates"),
+    ]
+    if heads is not None:
+        rows = rows.unionByName(heads, allowMissingColumns=True)
+        found.append(F.first("head", ignorenulls=True).alias("head"))
+    # Both lists hold the same positions in the same order.
+    winners = F.zip_with(
+        "_files",
+        "_fates",
+        lambda file, fate: F.when(
+            fate["wins"],
+            F.struct(fate["first_pos"].alias("pos"), file["filename"], file["diff"]),
+        ),
+    )
+    entries = F.transform(
+        F.array_sort(F.array_compact(winners)), lambda e: F.struct(e["filename"], e["diff"])
+    )
+    return (
+        rows.groupBy("project", "sha", "part")
+        .agg(*found)
+        # A part whose files are all changed again in later parts holds nothing.
+        .where(F.exists("_fates", lambda fate: fate["wins"]))
+        .withColumn("file_diffs", F.map_from_entries(entries))
+        .drop("_files", "_fates")
+    )
+
+
 def file_diff_map(
     file_changes: DataFrame, files_per_record: int = FILES_PER_RECORD
 ) -> DataFrame:
@@ -77,20 +141,7 @@ def file_diff_map(
     positions; then its files are spread over parts by position, so that a huge
     commit is never gathered in one row. The parts together are the whole map.
     """
-    entry = F.struct(
-        "pos",
-        "filename",
-        F.struct("diff_content", "lines_added", "lines_deleted").alias("diff"),
-    )
-    in_order = F.transform(
-        F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["filename"], e["diff"])
-    )
-    return (
-        file_diffs(file_changes)
-        .withColumn("part", F.expr(f"pos div {int(files_per_record)}"))
-        .groupBy("project", "sha", "part")
-        .agg(F.map_from_entries(in_order).alias("file_diffs"))
-    )
+    return _gathered(file_changes, files_per_record, None)
 
 
 def commit_diffs(
@@ -98,35 +149,34 @@ def commit_diffs(
 ) -> DataFrame:
     """Nested diff record of every commit with a parent and at least one changed file.
 
-    Every part of a split commit repeats the commit's totals. It is the totals that are
-    multiplied by part and meet the maps where those already are: the diff texts are not
-    shuffled again for them, and the parts of a huge commit stay spread.
+    Every part of a split commit repeats the commit's head and totals. It is those that
+    are multiplied by part, so the parts of a huge commit stay spread.
     """
     described = with_parent(commits).select(
         "project",
         "sha",
-        F.col("pos").alias("commit_pos"),
-        "previous_hash",
+        "pos",
+        F.col("previous_hash").alias("previous_commit_hash"),
         F.col("author_name").alias("author"),
         F.col("author_date").alias("date"),
         "message",
     )
+    head = [c for c in described.columns if c not in ("project", "sha")]
     last = F.expr(f"_last_pos div {int(files_per_record)}")
-    headed = described.join(_totals(file_changes), ["project", "sha"]).withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+    heads = described.join(_totals(file_changes), ["project", "sha"]).select(
+        "project",
+        "sha",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"),
+        F.struct(*head, *_TOTALS).alias("head"),
     )
     return (
-        file_diff_map(file_changes, files_per_record)
-        .join(headed, ["project", "sha", "part"])
+        _gathered(file_changes, files_per_record, heads)
+        .where("head is not null")
         .select(
             "project",
-            F.col("commit_pos").alias("pos"),
             "part",
             F.col("sha").alias("commit_hash"),
-            F.col("previous_hash").alias("previous_commit_hash"),
-            "author",
-            "date",
-            "message",
-            F.struct(*_TOTALS, "file_diffs").alias("diff_stats"),
+            *[f"head.{c}" for c in head],
+            F.struct(*[f"head.{c}" for c in _TOTALS], "file_diffs").alias("diff_stats"),
         )
     )

@@ -89,10 +89,18 @@ def test_nested_records(spark):
     assert json.loads(got["d"].s)["file_diffs"] == {"bin": {"lines_added": 0, "lines_deleted": 0}}
 
 
+def test_file_maps_keep_first_places(spark):
+    got = {r.sha: r.file_diffs for r in D.file_diff_map(changes(spark)).collect()}
+    assert list(got["c"]) == ["a.java", "b.java"]
+    assert got["c"]["a.java"].lines_added == 2
+    assert set(got) == {"c", "d", "root"}
+
+
 def test_parts_of_a_large_commit_are_the_whole_map(spark):
     many = [("p", "c", i, f"f{i % 70}", "MODIFY", "+x\n" * (i + 1)) for i in range(100)]
     records = D.commit_diffs(commits(spark), changes(spark, many), files_per_record=16).collect()
-    assert len(records) == 5
+    # Positions 0 to 15 are all overwritten later: their part holds nothing.
+    assert sorted(r.part for r in records) == [1, 2, 3, 4, 5, 6]
     assert all(len(r.diff_stats.file_diffs) <= 16 for r in records)
     assert {r.diff_stats.changed for r in records} == {100}
     files = {}
