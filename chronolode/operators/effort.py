@@ -1,8 +1,8 @@
 """Effort by author and by refactoring type.
 
-Listings are counted per commit and author, or per commit and type, before they
-meet the LOC change, so a commit listed or refactored very often joins as one row
-and its change is multiplied instead of added again and again.
+Listings are shuffled once, to the LOC change of their commit. The change is unique per
+commit, so a commit listed very often skews the listings only, which can be split, and
+both sums combine on the map side before they are shuffled.
 """
 
 from __future__ import annotations
@@ -32,39 +32,32 @@ def resolved_authors(listed: DataFrame, commits: DataFrame) -> DataFrame:
     )
 
 
-def _credit(counted: DataFrame, delta: DataFrame) -> DataFrame:
-    return counted.join(delta, _COMMIT, "left").withColumn(
-        "_credit", F.coalesce("tloc", F.lit(0)) * F.col("n")
-    )
-
-
 def effort_by_author(listed: DataFrame, delta: DataFrame) -> DataFrame:
+    """Change of all listed commits per author. A commit counts once per listing."""
     stated = stated_author(F.col("authorName"), F.col("author")).alias("stated")
-    counted = (
-        with_hash(listed)
-        .select("project", "sha", stated)
-        .groupBy("project", "sha", "stated")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     author = or_default(F.coalesce("stated", "log_author"), UNKNOWN)
     return (
-        _credit(counted, delta)
+        with_hash(listed)
+        .select("project", "sha", stated)
+        .join(delta, _COMMIT, "left")
         .groupBy("project", author.alias("author"))
-        .agg(F.sum("_credit").cast("bigint").alias("effort"))
+        .agg(F.coalesce(F.sum("tloc"), F.lit(0)).alias("effort"))
     )
 
 
 def effort_by_type(listed: DataFrame, delta: DataFrame) -> DataFrame:
-    """Each refactoring credits its type with the whole change of its commit."""
-    counted = (
+    """Each refactoring credits its type with the whole change of its commit.
+
+    Listings without refactorings stay out of the shuffle, and the others travel as one
+    row each: they are taken apart only after they have met their change.
+    """
+    return (
         with_hash(listed)
-        .select("project", "sha", F.explode("refactorings.type").alias("type"))
+        .select("project", "sha", F.col("refactorings.type").alias("types"))
+        .where("size(types) > 0")
+        .join(delta.select("project", "sha", "tloc"), _COMMIT, "left")
+        .select("project", F.explode("types").alias("type"), "tloc")
         .where("type is not null")
-        .groupBy("project", "sha", "type")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return (
-        _credit(counted, delta)
         .groupBy("project", "type")
-        .agg(F.sum("_credit").cast("bigint").alias("effort"))
+        .agg(F.coalesce(F.sum("tloc"), F.lit(0)).alias("effort"))
     )

@@ -8,6 +8,7 @@ from checks import tables as t
 from checks.queries import QUERIES
 from chronolode.functions import PROGRAMMING_LANGUAGES
 from chronolode.operators import diffs as D
+from chronolode.operators import effort as E
 from chronolode.operators import issues as I
 from chronolode.operators import loc as L
 from chronolode.operators import membership as M
@@ -89,15 +90,48 @@ HOT_KEY = "if(id % 10 < 9, 'hot', concat('s', id))"
 REST = "id % 10 = 9"
 
 
-def tloc_of_a_hot_commit(ids):
-    delta = ids.where(REST).selectExpr(
+def change_of_the_rest(ids):
+    return ids.where(REST).selectExpr(
         "'p' project",
         f"{HOT_KEY} sha",
         "cast(null as string) previous_hash",
-        "0L tloc",
+        "id tloc",
         "'x' log_author",
     )
-    return L.tloc_report(ids.selectExpr("'p' project", f"{HOT_KEY} sha"), delta)
+
+
+def listings_of_a_hot_commit(ids):
+    return ids.selectExpr(
+        "'p' project",
+        f"{HOT_KEY} sha",
+        "cast(id as string) authorName",
+        "cast(null as string) author",
+        "array(named_struct('type', cast(id as string))) refactorings",
+    )
+
+
+def tloc_of_a_hot_commit(ids):
+    return L.tloc_report(listings_of_a_hot_commit(ids), change_of_the_rest(ids))
+
+
+def authors_of_a_hot_commit(ids):
+    return E.effort_by_author(listings_of_a_hot_commit(ids), change_of_the_rest(ids))
+
+
+def types_of_a_hot_commit(ids):
+    return E.effort_by_type(listings_of_a_hot_commit(ids), change_of_the_rest(ids))
+
+
+def log_authors_of_a_hot_commit(ids):
+    log = change_of_the_rest(ids).withColumnRenamed("log_author", "author_name")
+    return E.resolved_authors(listings_of_a_hot_commit(ids), log)
+
+
+def files_of_a_hot_name(ids):
+    changes = ids.selectExpr(
+        "'p' project", "'c' sha", "id pos", f"{HOT_KEY} filename", "'ADD' change_type", "'+' diff"
+    )
+    return D.file_diff_map(changes)
 
 
 def children_of_a_hot_parent(ids):
@@ -136,6 +170,10 @@ def authors_of_a_hot_project(ids):
     "query",
     [
         tloc_of_a_hot_commit,
+        authors_of_a_hot_commit,
+        types_of_a_hot_commit,
+        log_authors_of_a_hot_commit,
+        files_of_a_hot_name,
         children_of_a_hot_parent,
         pages_of_a_hot_repository,
         commits_of_a_hot_project,
