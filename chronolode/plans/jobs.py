@@ -42,13 +42,24 @@ def _timed(job: Callable) -> Callable:
 
 
 def _done_projects(spark: SparkSession, path: str) -> DataFrame:
-    """Projects with a result under ``path``; none before the first run."""
+    """Projects with a result under ``path``; none before the first run.
+
+    The names are in the folder names. Only files are listed; no result is read.
+    """
     try:
-        return spark.read.schema("project string").json(path).select("project").distinct()
+        files = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "part-*")
+            .load(path)
+        )
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "project string")
+    folder = F.regexp_extract("path", "/project=([^/]+)/", 1)
+    name = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    return files.select(name.alias("project")).distinct()
 
 
 def _store(df: DataFrame, path: str) -> DataFrame:

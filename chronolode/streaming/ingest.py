@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.refactorings import first_listings, listing_fields
-from ..session import shared_dir
 from ..sources.readers import chunk_options, tag_chunks, valid_chunk
 
 _LANDED = f"{schemas.REFACTORING_COMMITS}, file string, pos int, batch bigint, valid boolean"
@@ -30,9 +29,10 @@ def ingest_chunks(
     """Read the chunk files of ``<source>/<project>/`` that are new since the last run.
 
     Listings and rejects leave in one pass over the files, as two partitions of the
-    target.
+    target. Unless told otherwise, the progress is kept in the target too, hidden from
+    readers by its leading underscore.
     """
-    checkpoint = checkpoint or f"{shared_dir(spark)}/ingest-checkpoint"
+    checkpoint = checkpoint or f"{target}/_checkpoint"
     raw = tag_chunks(
         spark.readStream.schema(schemas.CHUNK_FILE)
         .options(**chunk_options(multi_line))

@@ -77,11 +77,11 @@ def test_chunk_files_valid_and_rejected(spark, tmp_path, rows):
 
 
 def test_ingest_reads_each_file_once(spark, tmp_path, rows):
-    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    source, target = (str(tmp_path / n) for n in ("in", "out"))
     put_chunks(source)
 
     def run():
-        ingest_chunks(spark, source, target, checkpoint)
+        ingest_chunks(spark, source, target)
         return rows(landed_commits(spark, target), "sha")
 
     first = [("s1",), ("s2",), ("s7",), ("s8",)]
@@ -321,6 +321,17 @@ def test_diff_job_adds_only_new_projects(spark, tmp_path, facts):
     assert run(a) == first
 
 
+def test_done_projects_are_read_off_the_folders(spark, tmp_path, rows):
+    path = str(tmp_path / "s")
+    assert rows(jobs._done_projects(spark, path)) == []
+    names = ["007", "a b+c", "d:e%f", "é"]
+    summary = spark.createDataFrame([(n, 1) for n in names], "project string, total bigint")
+    writers.write_refactoring_summary(summary, path)
+    done = jobs._done_projects(spark, path)
+    assert rows(done) == [(n,) for n in names]
+    assert "content" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_url_and_issue_jobs(spark, tmp_path):
     out = str(tmp_path / "out")
     measures = spark.createDataFrame([("1,o_n,z", 0), ("2,a_b_c,z", 1)], "_c0 string, pos bigint")
