@@ -27,6 +27,6 @@ def test_flagship_query(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", list(driver.oracle_sql()))
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_query_agrees_with_its_sql(spark, con, name):
     assert difference(spark, con, name, SF) is None
