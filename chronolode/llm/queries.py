@@ -13,6 +13,7 @@ from chronolode.llm import (
     extraction,
     jaccard,
     language,
+    line_dedup,
     quality,
     token_lengths,
 )
@@ -33,6 +34,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines and how many of them go; ``removed`` as comma-joined numbers."""
+    _session(spark)
+    report = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return report.withColumn("removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ","))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     _session(spark)
     return extraction.extract(table(spark, sf_dir, "pages"))
@@ -72,6 +80,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_line_dedup": op2_line_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_language_id": op5_language_id,
@@ -81,6 +90,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": r"""
+WITH split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
+), lines AS (
+  SELECT doc_id, i - 1 AS line,
+         list_distinct(regexp_extract_all(translate(l[i],
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS w
+  FROM split, unnest(range(1, len(l) + 1)) AS t(i)
+), sets AS (
+  SELECT doc_id, line, list_sort(w) AS w, len(w) AS n FROM lines WHERE len(w) >= 5
+), nodes AS (
+  SELECT w, n, min((doc_id, line)) AS first, row_number() OVER () AS node FROM sets GROUP BY w, n
+), tokens AS (
+  SELECT node, n, first, unnest(w) AS token FROM nodes
+), shared AS (
+  SELECT a.node, count(*) AS o, a.n AS m, b.n AS n
+  FROM tokens a JOIN tokens b
+    ON a.token = b.token AND b.first < a.first AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n
+), matched AS (
+  SELECT DISTINCT node FROM shared WHERE 100 * o >= 80 * (m + n - o)
+), gone AS (
+  SELECT DISTINCT s.doc_id, s.line
+  FROM sets s JOIN nodes USING (w, n) LEFT JOIN matched g USING (node)
+  WHERE (s.doc_id, s.line) > nodes.first OR g.node IS NOT NULL
+), removed AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(line::VARCHAR, ',' ORDER BY line) AS removed
+  FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
+       coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN removed r ON r.doc_id = d.doc_id
+""",
     "op9_curriculum_mix": r"""
 WITH rows AS (
   SELECT doc_id, source,
