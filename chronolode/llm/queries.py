@@ -14,6 +14,7 @@ from chronolode.llm import (
     jaccard,
     language,
     line_dedup,
+    pii,
     quality,
     token_lengths,
 )
@@ -65,6 +66,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.length_histogram(lengths)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _session(spark)
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     _session(spark)
     return curriculum.mixture(table(spark, sf_dir, "documents")).select(
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
+    "op8_pii": op8_pii,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
