@@ -314,6 +314,6 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "\n",
     )
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept)
-    return packed.select("row.*", text.alias("__text")).select(
-        *[F.col("__text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return packed.select(
+        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     )

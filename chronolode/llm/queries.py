@@ -14,6 +14,7 @@ from chronolode.llm import (
     jaccard,
     language,
     line_dedup,
+    lm,
     pii,
     quality,
     token_lengths,
@@ -22,7 +23,7 @@ from chronolode.llm.common import ship, table
 from chronolode.session import configure
 
 
-def _session(spark: SparkSession) -> SparkSession:
+def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the library; batches of long texts stay small."""
     configure(spark)
     ship(spark)
@@ -31,48 +32,53 @@ def _session(spark: SparkSession) -> SparkSession:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    prepare(spark)
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its lines and how many of them go; ``removed`` as comma-joined numbers."""
-    _session(spark)
+    prepare(spark)
     report = line_dedup.line_report(table(spark, sf_dir, "documents"))
     return report.withColumn("removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ","))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    prepare(spark)
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item found in it."""
-    _session(spark)
+    prepare(spark)
     return decontamination.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    prepare(spark)
     return language.identify(table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    prepare(spark)
     lengths = token_lengths.encoded_lengths(table(spark, sf_dir, "documents"))
     return token_lengths.length_histogram(lengths)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    prepare(spark)
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    prepare(spark)
     return curriculum.mixture(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken",
         F.size("positions").alias("passes"),
@@ -80,7 +86,7 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    prepare(spark)
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_pii": op8_pii,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
