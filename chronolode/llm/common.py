@@ -65,15 +65,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Split a batch into runs of rows of about STEP_BYTES of text; NULL texts become empty."""
+def text_steps(
+    batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Split a batch into runs of rows of about ``limit`` bytes of text; NULL texts become empty."""
     at = batch.schema.get_field_index(column)
     text = pc.fill_null(batch.column(at).cast(pa.string()), "")
     batch = batch.set_column(at, column, text)
     sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, size in enumerate(sizes):
-        if i > start and total + size > STEP_BYTES:
+        if i > start and total + size > limit:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(size)

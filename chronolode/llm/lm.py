@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from chronolode.llm.arrays import Words, mix
-from chronolode.llm.common import fold, stored, with_fields
+from chronolode.llm.common import fold, stored, text_steps, with_fields
 
 FOLDS = 10
 HELD_OUT, DELETED = 0, 1
@@ -75,39 +75,57 @@ class Tokens:
     """Token and bigram fingerprints of a batch of texts; each row ends with the end token."""
 
     def __init__(self, text: pa.Array):
-        words = Words(text, lower=True)
-        n, rows = len(words.hash), words.rows
+        rows = len(text)
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        # A few texts at a time: the arrays over bytes are much larger than those over words.
+        whole = pa.RecordBatch.from_arrays([text], names=["text"])
+        for part in text_steps(whole, limit=1 << 20):
+            words = Words(part.column("text"), lower=True)
+            hashes.append(words.hash)
+            counts.append(words.count())
+        hashes, counts = np.concatenate(hashes), np.concatenate(counts)
+        n = len(hashes)
+        word_row = np.repeat(np.arange(rows), counts)
+        first = np.cumsum(counts) - counts
         self.row = np.empty(n + rows, np.int64)
         self.token = np.empty(n + rows, np.uint64)
-        ends = words.first[1:] + np.arange(rows)
-        at = np.arange(n) + words.row
-        self.row[at], self.row[ends] = words.row, np.arange(rows)
-        self.token[at], self.token[ends] = words.hash, END
+        ends = first + counts + np.arange(rows)
+        at = np.arange(n) + word_row
+        self.row[at], self.row[ends] = word_row, np.arange(rows)
+        self.token[at], self.token[ends] = hashes, END
         self.context = np.empty_like(self.token)
         self.context[1:] = self.token[:-1]
-        self.context[words.first[:-1] + np.arange(rows)] = START
+        self.context[first + np.arange(rows)] = START
         self.pair = mix(self.context * np.uint64(0x9FB21C651E98DF25) + self.token)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Rows of a task in blocks of about BLOCK_BYTES, numbered alike in every pass."""
-    task = TaskContext.get().partitionId()
-    parts, size, number = [], 0, 0
+    """Rows of a task in blocks of about BLOCK_BYTES, numbered alike in every pass.
+
+    Rows of the deleted fold have blocks of their own (odd numbers), which are the same if
+    only that fold is read.
+    """
+    task = TaskContext.get().partitionId() << 32
+    parts: list[list[pa.RecordBatch]] = [[], []]
+    size, number = [0, 0], [0, 0]
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        lengths = pa.compute.binary_length(batch.column(at)).to_numpy(zero_copy_only=False)
-        start = 0
-        for i, n in enumerate(lengths.tolist()):
-            if size and size + n > BLOCK_BYTES:
-                if i > start:
-                    parts.append(batch.slice(start, i - start))
-                yield (task << 32) | number, pa.Table.from_batches(parts)
-                parts, size, number, start = [], 0, number + 1, i
-            size += n + 1
-        if start < batch.num_rows:
-            parts.append(batch.slice(start))
-    if parts:
-        yield (task << 32) | number, pa.Table.from_batches(parts)
+        deleted = batch.column("fold").to_numpy() == DELETED
+        for kind, rows in enumerate((batch.filter(pa.array(~deleted)), batch.filter(pa.array(deleted)))):
+            lengths = pa.compute.binary_length(rows.column("text")).to_numpy(zero_copy_only=False)
+            start = 0
+            for i, n in enumerate(lengths.tolist()):
+                if size[kind] and size[kind] + n > BLOCK_BYTES:
+                    if i > start:
+                        parts[kind].append(rows.slice(start, i - start))
+                    yield task | number[kind] << 1 | kind, pa.Table.from_batches(parts[kind])
+                    parts[kind], size[kind], start = [], 0, i
+                    number[kind] += 1
+                size[kind] += n + 1
+            if start < rows.num_rows:
+                parts[kind].append(rows.slice(start))
+    for kind in (0, 1):
+        if parts[kind]:
+            yield task | number[kind] << 1 | kind, pa.Table.from_batches(parts[kind])
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -230,29 +248,30 @@ def _parts_of(counts: Counts, totals: tuple[int, int]) -> tuple[np.ndarray, np.n
     return pair, counts.word / max(tokens, 1), 1.0 / (types + 1)
 
 
-def _with_answers(docs: DataFrame, answers: DataFrame, step, schema, only: int | None = None) -> DataFrame:
-    """Apply ``step(rows, answers)`` to every block; ``only`` keeps the rows of one fold."""
+def _with_answers(
+    docs: DataFrame, answers: DataFrame, step, schema, only_deleted: bool = False
+) -> DataFrame:
+    """Apply ``step(rows, answers)`` to every block, or to those of the deleted fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches):
             n = rows.num_rows
-            keep = np.ones(n, bool) if only is None else rows.column("fold").to_numpy() == only
-            # Rows of other folds still count for the order of n-grams, so blocks stay whole.
-            if not keep.any():
-                continue
             rows = rows.append_column("block", pa.array(np.full(n, block), pa.int64()))
             rows = rows.append_column("place", pa.array(np.arange(n), pa.int64()))
             yield from rows.select(["block", "place", "doc_id", "fold", "text"]).to_batches()
 
-    source = _source(docs)
+    source, found = _source(docs), answers.where("block >= 0")
+    if only_deleted:
+        source = source.where(F.col("fold") == DELETED)
+        found = found.where(F.col("block") % 2 == 1)
     fields = StructType(
         [*StructType.fromDDL("block long, place long").fields, source.schema["doc_id"],
          *StructType.fromDDL("fold int, text string").fields]
     )
-    blocks = source.mapInArrow(run, fields)
     return (
-        blocks.groupBy("block")
-        .cogroup(answers.where("block >= 0").groupBy("block"))
+        source.mapInArrow(run, fields)
+        .groupBy("block")
+        .cogroup(found.groupBy("block"))
         .applyInArrow(step, schema)
     )
 
@@ -271,19 +290,18 @@ def _held_out_cells(docs: DataFrame, answers: DataFrame, model: Model) -> list:
         if rows.num_rows == 0:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
         tokens = Tokens(_text(rows))
-        mine = rows.column("fold").to_numpy()[tokens.row] == DELETED
         counts = Counts(tokens, found, "base")
         pair, word, _ = _parts_of(counts, base)
         code = np.stack([_bucket(counts.context), *(
             np.where(p > 0, np.round(STEPS * np.log2(np.where(p > 0, p, 1))), 1) for p in (pair, word)
-        )])[:, mine].astype(np.int32)
+        )]).astype(np.int32)
         code, n = np.unique(code, axis=1, return_counts=True)
         return pa.Table.from_arrays(
             [*(pa.array(c) for c in code), pa.array(n.astype(np.int64))], names=names
         )
 
     schema = "bucket int, pair int, word int, n long"
-    found = _with_answers(docs, answers, cells, schema, only=DELETED)
+    found = _with_answers(docs, answers, cells, schema, only_deleted=True)
     return found.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()
 
 
