@@ -158,7 +158,7 @@ _VIEWS = {
                CAST(1 + CASE WHEN g % 3 = 0 THEN g // 3 ELSE g // 24 END AS BIGINT) AS page,
                CASE WHEN g % 23 = 19 THEN 500 ELSE 200 END AS status,
                count(*) FILTER (there) AS n_items
-        FROM marked GROUP BY repo_no, g""",
+        FROM marked WHERE g % 41 <> 37 GROUP BY repo_no, g""",
     "probe": """
         SELECT 'org' AS owner, 'r' || CAST(repo_no AS VARCHAR) AS repo,
                CASE repo_no % 5 WHEN 1 THEN 404 WHEN 2 THEN 500 ELSE 200 END AS status,
@@ -173,9 +173,10 @@ _VIEWS = {
         SELECT * FROM (
             SELECT *, coalesce(max(CASE WHEN status <> 200 OR n_items < 100 THEN 1 ELSE 0 END) OVER (
                 PARTITION BY owner, repo ORDER BY page
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+                row_number() OVER (PARTITION BY owner, repo ORDER BY page) AS nth
             FROM pages)
-        WHERE stopped = 0 AND status = 200 AND n_items > 0""",
+        WHERE stopped = 0 AND status = 200 AND n_items > 0 AND nth = page""",
 }
 
 _NEEDS = {
@@ -286,22 +287,68 @@ _STATEMENTS = {
     ),
     "commit_diff_records": (
         ["commits", "stats", "last_wins"],
-        """SELECT c.project, c.pos, f.part, c.sha AS commit_hash, c.parent AS previous_commit_hash,
+        """SELECT c.project, c.sha AS commit_hash, c.pos, c.parent AS previous_commit_hash,
                   coalesce(c.log_author, '') AS author, c.author_date AS date, c.message,
-                  '{"files_added":' || s.files_added || ',"files_deleted":' || s.files_deleted
-                  || ',"lines_added":' || s.lines_added || ',"lines_deleted":' || s.lines_deleted
-                  || ',"changed":' || s.changed || ',"file_diffs":{' || f.entries || '}}' AS diff_stats
+                  s.files_added, s.files_deleted, s.lines_added AS lines_added_in_all,
+                  s.lines_deleted AS lines_deleted_in_all, s.changed,
+                  f.pos AS file_pos, f.filename, f.diff_content, f.lines_added, f.lines_deleted
            FROM commits c
            JOIN stats s ON s.project = c.project AND s.sha = c.sha
-           JOIN (SELECT project, sha, last_pos // 1000 AS part,
-                        string_agg(to_json(filename) || ':{'
-                            || coalesce('"diff_content":' || to_json(diff_content) || ',', '')
-                            || '"lines_added":' || lines_added || ',"lines_deleted":' || lines_deleted
-                            || '}', ',' ORDER BY pos) AS entries
-                 FROM last_wins GROUP BY 1, 2, 3) f
-             ON f.project = c.project AND f.sha = c.sha
+           JOIN last_wins f ON f.project = c.project AND f.sha = c.sha
            WHERE c.parent IS NOT NULL""",
     ),
+    "file_change_rejects": (
+        ["changes"],
+        """SELECT project, sha, pos, count(*) AS n, reason FROM (
+               SELECT project, sha, CASE WHEN pos % 7 = 1 THEN pos - 1 ELSE pos END AS pos,
+                      CASE WHEN filename IS NULL OR pos % 10 = 3 THEN 'nameless'
+                           ELSE 'repeated position' END AS reason
+               FROM changes)
+           GROUP BY project, sha, pos, reason HAVING reason = 'nameless' OR count(*) > 1""",
+    ),
+    "file_changes_read": (
+        ["changes"],
+        "SELECT project, sha, pos, filename, change_type, diff FROM changes",
+    ),
+    "commits_read": (
+        ["commits"],
+        "SELECT project, sha, pos, tz AS author_tz, secs FROM commits WHERE pos % 9 <> 4",
+    ),
+    "loc_reports_read": (["totals"], "SELECT project, sha, status, loc FROM totals"),
+    "issue_pages_read": (["pages"], "SELECT owner, repo, page, status, n_items FROM pages"),
+    "refactoring_commits_read": (
+        ["listed"],
+        """SELECT project, sha, authorName AS "authorName", author,
+                  CAST(n_refactorings AS BIGINT) AS n_refactorings FROM listed""",
+    ),
+    "tloc_written": (
+        ["listed", "delta"],
+        """SELECT l.project, l.sha AS refactoring_hash, coalesce(d.previous_hash, 'N/A') AS previous_hash,
+                  CASE WHEN d.previous_hash IS NULL THEN 'Unknown'
+                       ELSE coalesce(d.log_author, 'Unknown') END AS author,
+                  CAST(coalesce(d.tloc, 0) AS BIGINT) AS "TLOC"
+           FROM listed l LEFT JOIN delta d ON d.project = l.project AND d.sha = l.sha""",
+    ),
+    "effort_written": (
+        ["by_author", "by_type"],
+        """SELECT project, 'author' AS map, author AS key, effort FROM by_author
+           UNION ALL SELECT project, 'type' AS map, type AS key, effort FROM by_type""",
+    ),
+    "urls_written": (["urls"], "SELECT project, url, pos FROM urls"),
+    "issues_written": (
+        ["kept", "trackers"],
+        """SELECT k.owner, k.repo,
+                  '{"id":' || m.event_id || ',"type":"' || m.event_type || '"}' AS value
+           FROM kept k JOIN marked m ON m.g = k.g AND m.there
+           WHERE EXISTS (SELECT 1 FROM trackers t
+               WHERE t.owner = k.owner AND t.repo = k.repo AND t.tracker = 'github')""",
+    ),
+    "page_gaps": (
+        ["pages"],
+        """SELECT owner, repo, min(page) AS behind_gap FROM (
+               SELECT *, row_number() OVER (PARTITION BY owner, repo ORDER BY page) AS nth FROM pages)
+           WHERE nth <> page GROUP BY owner, repo""",
+    ),
     "analysed_commits": (["analysed"], "SELECT project, sha FROM analysed"),
     "pending_commits": (["pending"], "SELECT project, sha, pos FROM pending ORDER BY project, pos"),
     "commit_chunks": (["chunks"], "SELECT project, sha, pos, chunk FROM chunks"),

@@ -17,7 +17,7 @@ from chronolode.operators import membership as M
 from chronolode.operators import projects as P
 from chronolode.operators import refactorings as R
 from chronolode.session import shared_dir
-from chronolode.sources import writers
+from chronolode.sources import readers, writers
 from chronolode.streaming import ingest_chunks, landed_commits
 
 from . import tables as t
@@ -35,6 +35,16 @@ def _delta(spark: SparkSession, sf: str) -> DataFrame:
     return L.loc_delta(t.commits(spark, sf), L.snapshot_loc(t.loc_reports(spark, sf)))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # Lines of code and effort
 
 
@@ -80,23 +90,9 @@ def effort_by_type(spark, sf):
 
 @query
 def effort_objects(spark, sf):
-    delta = _delta(spark, sf)
-    listed = t.listed(spark, sf)
-    objects = writers.effort_objects(
-        E.effort_by_author(listed, delta), E.effort_by_type(listed, delta)
-    )
-    # Which object an author is in is free; the entries together are the result.
-    authors = objects.select(
-        "project",
-        F.lit("author").alias("map"),
-        F.explode("developer_effort").alias("key", "effort"),
-    )
-    types = objects.select(
-        "project",
-        F.lit("type").alias("map"),
-        F.explode("refactoring_effort").alias("key", "effort"),
-    )
-    return authors.unionByName(types)
+    """Both effort maps as rows, from listings that met their change once."""
+    credited = _stored(E.credited(t.listed(spark, sf), _delta(spark, sf)), "credited")
+    return writers.effort_rows(E.author_effort(credited), E.type_effort(credited))
 
 
 # Refactorings
@@ -146,10 +142,11 @@ def incremental_ingest(spark, sf):
     run = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     commit = F.struct(F.col("sha").alias("sha1"), "authorName", "author", "refactorings")
     listed = t.listed(spark, sf)
-    for status in ("O", "F"):
+    first = F.coalesce(F.col("l_linestatus") == "O", F.lit(False))
+    for half in (first, ~first):
         # A listing is its own document: no group of lines is gathered for a file.
         (
-            listed.where(F.col("l_linestatus") == status)
+            listed.where(half)
             .select("project", F.to_json(F.struct(F.array(commit).alias("commits"))).alias("value"))
             .hint("rebalance", "project")
             .write.mode("append")
@@ -191,8 +188,105 @@ def file_diff_numbers(spark, sf):
 
 @query
 def commit_diff_records(spark, sf):
-    records = D.commit_diffs(t.commits(spark, sf), t.file_changes(spark, sf))
-    return records.withColumn("diff_stats", F.to_json("diff_stats"))
+    """The two flat tables of the sink, joined: a row per commit and changed file."""
+    named = _stored(D.named_changes(t.file_changes(spark, sf)), "named")
+    heads = D.commit_heads(t.commits(spark, sf), named)
+    files = D.head_files(heads, named)
+    totals = {"lines_added": "lines_added_in_all", "lines_deleted": "lines_deleted_in_all"}
+    return heads.withColumnsRenamed(totals).join(files, ["project", "commit_hash"])
+
+
+@query
+def file_change_rejects(spark, sf):
+    """Every tenth name blanked and some places claimed twice."""
+    changes = t.file_changes(spark, sf)
+    spoilt = changes.withColumn("filename", F.when(F.col("pos") % 10 != 3, F.col("filename"))).withColumn(
+        "pos", F.when(F.col("pos") % 7 == 1, F.col("pos") - 1).otherwise(F.col("pos"))
+    )
+    return D.file_change_rejects(spoilt)
+
+
+# Sources and sinks: written through the sink (or as the tools leave them), read back
+
+
+def _landed_json(df: DataFrame, name: str) -> str:
+    """JSON lines of a view with a broken line after each tenth or so."""
+    path = _folder(df.sparkSession, name)
+    whole = F.to_json(F.struct(*df.columns))
+    broken = F.when(F.xxhash64(whole) % 10 == 0, F.concat(F.lit('{"cut": "'), F.lit("x")))
+    df.select(F.explode(F.array_compact(F.array(whole, broken))).alias("value")).write.text(path)
+    return path
+
+
+@query
+def file_changes_read(spark, sf):
+    path = _landed_json(t.file_changes(spark, sf), "file_changes")
+    return readers.read_file_changes(spark, path, "json")[0]
+
+
+@query
+def commits_read(spark, sf):
+    log = t.commits(spark, sf)
+    padded = log.withColumn("sha", F.when(F.col("pos") % 9 != 4, F.concat(F.lit(" "), "sha", F.lit("\n"))).otherwise(" "))
+    path = _landed_json(padded.drop("author_ts", "author_tz", "committer_ts"), "commits")
+    ok, _ = readers.read_commits(spark, path, "json")
+    return ok.select("project", "sha", "pos", "author_tz", F.unix_seconds("author_ts").alias("secs"))
+
+
+@query
+def loc_reports_read(spark, sf):
+    """Reports as rows; the named ones are totalled."""
+    path = _landed_json(t.loc_reports(spark, sf), "loc_reports")
+    return L.snapshot_loc(readers.read_loc_table(spark, path, "json")[0])
+
+
+@query
+def issue_pages_read(spark, sf):
+    path = _landed_json(t.issue_pages(spark, sf), "issue_pages")
+    pages, _ = readers.read_issue_pages(spark, path)
+    return I.with_item_count(pages).select("owner", "repo", F.col("page").cast("long"), "status", "n_items")
+
+
+@query
+def refactoring_commits_read(spark, sf):
+    path = _folder(spark, "listed")
+    writers.write_refactoring_commits(t.listed(spark, sf).drop("l_returnflag", "l_linestatus"), path, "json")
+    listed, _ = readers.read_refactoring_commits(spark, path, "json")
+    n = F.when(F.col("refactorings").isNull(), 0).otherwise(F.size("refactorings"))
+    return listed.select("project", "sha", "authorName", "author", n.cast("bigint").alias("n_refactorings"))
+
+
+@query
+def tloc_written(spark, sf):
+    path = _folder(spark, "tloc")
+    writers.write_tloc(L.tloc_report(t.listed(spark, sf), _delta(spark, sf)), path)
+    columns = "refactoring_hash string, previous_hash string, author string, TLOC bigint, project string"
+    report = spark.read.schema(columns).option("header", True).option("escape", '"').csv(path)
+    return report.select("project", "refactoring_hash", "previous_hash", "author", "TLOC")
+
+
+@query
+def effort_written(spark, sf):
+    path = _folder(spark, "effort")
+    credited = _stored(E.credited(t.listed(spark, sf), _delta(spark, sf)), "credited")
+    writers.write_effort(E.author_effort(credited), E.type_effort(credited), path)
+    return spark.read.schema("project string, map string, key string, effort bigint").json(path)
+
+
+@query
+def urls_written(spark, sf):
+    path = _folder(spark, "urls")
+    writers.write_urls(P.project_urls(t.measures(spark, sf)), path)
+    return spark.read.schema("project string, url string, pos bigint").json(path)
+
+
+@query
+def issues_written(spark, sf):
+    """Issues in the order of their files: the place of each in its repository's list."""
+    path = _folder(spark, "issues")
+    pages = I.tracked_pages(t.issue_pages(spark, sf), t.issue_probe(spark, sf))
+    writers.write_issues(I.issues(pages), path)
+    return spark.read.schema("value string, owner string, repo string").text(path)
 
 
 # Work planning
@@ -294,6 +388,11 @@ def issues(spark, sf):
     return I.issues(pages)
 
 
+@query
+def page_gaps(spark, sf):
+    return I.page_gaps(t.issue_pages(spark, sf))
+
+
 @query
 def issue_counts(spark, sf):
     return I.issue_counts(t.issue_pages(spark, sf))

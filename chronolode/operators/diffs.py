@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import diff_content, lines_added, lines_deleted
 from .commits import with_parent
-from .membership import forget_partitioning
-
-# Files in one nested record; a commit with more files is written as several parts.
-FILES_PER_RECORD = 1000
+from .membership import forget_partitioning, only_in
 
 
 def diff_line_counts(file_changes: DataFrame) -> DataFrame:
@@ -29,9 +26,10 @@ def diff_line_counts(file_changes: DataFrame) -> DataFrame:
 _TOTALS = ["files_added", "files_deleted", "lines_added", "lines_deleted", "changed"]
 
 
-def _totals(file_changes: DataFrame) -> DataFrame:
+def commit_diff_stats(file_changes: DataFrame) -> DataFrame:
+    """Totals per commit over every changed file, same-named ones included."""
     return (
-        diff_line_counts(file_changes)
+        diff_line_counts(usable_changes(file_changes))
         .groupBy("project", "sha")
         .agg(
             F.count_if(F.col("change_type") == "ADD").alias("files_added"),
@@ -39,22 +37,16 @@ def _totals(file_changes: DataFrame) -> DataFrame:
             F.sum("lines_added").alias("lines_added"),
             F.sum("lines_deleted").alias("lines_deleted"),
             F.count(F.lit(1)).alias("changed"),
-            F.max("pos").alias("_last_pos"),
         )
     )
 
 
-def commit_diff_stats(file_changes: DataFrame) -> DataFrame:
-    """Totals per commit over every changed file, same-named ones included."""
-    return _totals(file_changes).select("project", "sha", *_TOTALS)
-
-
 def file_diffs(file_changes: DataFrame, content: bool = True) -> DataFrame:
     """One row per commit and file name: the last change wins, the first place stays.
 
     Without ``content`` only numbers are shuffled and the aggregate is a hash one.
     """
-    change = file_changes.select(
+    change = usable_changes(file_changes).select(
         "project",
         "sha",
         "filename",
@@ -69,89 +61,72 @@ def file_diffs(file_changes: DataFrame, content: bool = True) -> DataFrame:
     )
 
 
-def _files(file_changes: DataFrame, part: Column) -> DataFrame:
-    diff = F.struct(
-        diff_content(F.col("diff")).alias("diff_content"),
-        lines_added(F.col("diff")).alias("lines_added"),
-        lines_deleted(F.col("diff")).alias("lines_deleted"),
-    )
-    return file_changes.select(
-        "project", "sha", part, F.struct("pos", "filename", diff.alias("diff")).alias("file")
-    )
-
-
-def _fates(file_changes: DataFrame, part: Column) -> DataFrame:
-    """Per change, without its text: does it win, and where does its name come first?"""
-    name = ["project", "sha", "filename"]
-    changes = file_changes.select(*name, "pos")
-    spans = changes.groupBy(*name).agg(
-        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
-    )
-    wins = (F.col("pos") == F.col("last_pos")).alias("wins")
-    return changes.join(forget_partitioning(spans, *name), name).select(
-        "project", "sha", part, F.struct("pos", "first_pos", wins).alias("fate")
+def usable_changes(file_changes: DataFrame) -> DataFrame:
+    """Changes that name their commit, place and file; the others are rejects."""
+    return file_changes.where(
+        "project is not null and sha is not null and pos is not null and filename is not null"
     )
 
 
-def _gathered(file_changes: DataFrame, files_per_record: int, heads: DataFrame | None) -> DataFrame:
-    """One row per commit and part with its file map, and with its head if there are heads.
+def file_change_rejects(file_changes: DataFrame) -> DataFrame:
+    """Nameless changes, and places that several changes claim, without their texts.
 
-    Texts, fates and heads are stacked and grouped once. So every text is shuffled one
-    time only, and no join has to sort the gathered texts.
+    Changes at one place are all used, in the order of a digest of what they say.
     """
-    part = F.expr(f"pos div {int(files_per_record)}").alias("part")
-    rows = _files(file_changes, part).unionByName(
-        _fates(file_changes, part), allowMissingColumns=True
-    )
-    found = [
-        F.array_sort(F.collect_list("file")).alias("_files"),
-        F.array_sort(F.collect_list("fate")).alias("_fates"),
-    ]
-    if heads is not None:
-        rows = rows.unionByName(heads, allowMissingColumns=True)
-        found.append(F.first("head", ignorenulls=True).alias("head"))
-    # Both lists hold the same positions in the same order.
-    winners = F.zip_with(
-        "_files",
-        "_fates",
-        lambda file, fate: F.when(
-            fate["wins"],
-            F.struct(fate["first_pos"].alias("pos"), file["filename"], file["diff"]),
-        ),
+    nameless = (
+        file_changes.where("project is null or sha is null or pos is null or filename is null")
+        .groupBy("project", "sha", "pos")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("reason", F.lit("nameless"))
     )
-    entries = F.transform(
-        F.array_sort(F.array_compact(winners)), lambda e: F.struct(e["filename"], e["diff"])
-    )
-    return (
-        rows.groupBy("project", "sha", "part")
-        .agg(*found)
-        # A part whose files are all changed again in later parts holds nothing.
-        .where(F.exists("_fates", lambda fate: fate["wins"]))
-        .withColumn("file_diffs", F.map_from_entries(entries))
-        .drop("_files", "_fates")
+    repeated = (
+        usable_changes(file_changes)
+        .groupBy("project", "sha", "pos")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .withColumn("reason", F.lit("repeated position"))
     )
+    return nameless.unionByName(repeated)
 
 
-def file_diff_map(
-    file_changes: DataFrame, files_per_record: int = FILES_PER_RECORD
-) -> DataFrame:
-    """File name -> diff of each commit, in file order.
+def named_changes(file_changes: DataFrame) -> DataFrame:
+    """One row per commit and file name with all that a commit's record needs.
 
-    A commit has one record unless it touches more than ``files_per_record``
-    positions; then its files are spread over parts by position, so that a huge
-    commit is never gathered in one row. The parts together are the whole map.
+    The last change's text and counts win, the first place stays, and what all changes of
+    the name add to the commit's totals is summed. The text is read and shuffled once.
     """
-    return _gathered(file_changes, files_per_record, None)
-
+    change = usable_changes(file_changes).select(
+        "project",
+        "sha",
+        "filename",
+        "pos",
+        "change_type",
+        lines_added(F.col("diff")).alias("lines_added"),
+        lines_deleted(F.col("diff")).alias("lines_deleted"),
+        diff_content(F.col("diff")).alias("diff_content"),
+    )
+    tie = F.xxhash64("change_type", "diff_content").alias("tie")
+    return (
+        change.groupBy("project", "sha", "filename")
+        .agg(
+            F.min("pos").alias("pos"),
+            F.max(F.struct("pos", tie, "lines_added", "lines_deleted", "diff_content")).alias("last"),
+            F.count_if(F.col("change_type") == "ADD").alias("_files_added"),
+            F.count_if(F.col("change_type") == "DELETE").alias("_files_deleted"),
+            F.sum("lines_added").alias("_lines_added"),
+            F.sum("lines_deleted").alias("_lines_deleted"),
+            F.count(F.lit(1)).alias("_changed"),
+        )
+        .select(
+            "project", "sha", "pos", "filename", "last.diff_content", "last.lines_added",
+            "last.lines_deleted", *[f"_{c}" for c in _TOTALS],
+        )
+    )
 
-def commit_diffs(
-    commits: DataFrame, file_changes: DataFrame, files_per_record: int = FILES_PER_RECORD
-) -> DataFrame:
-    """Nested diff record of every commit with a parent and at least one changed file.
 
-    Every part of a split commit repeats the commit's head and totals. It is those that
-    are multiplied by part, so the parts of a huge commit stay spread.
-    """
+def commit_heads(commits: DataFrame, named: DataFrame) -> DataFrame:
+    """Every commit with a parent and at least one changed file, with its totals."""
+    totals = named.groupBy("project", "sha").agg(*[F.sum(f"_{c}").alias(c) for c in _TOTALS])
     described = with_parent(commits).select(
         "project",
         "sha",
@@ -161,22 +136,35 @@ def commit_diffs(
         F.col("author_date").alias("date"),
         "message",
     )
-    head = [c for c in described.columns if c not in ("project", "sha")]
-    last = F.expr(f"_last_pos div {int(files_per_record)}")
-    heads = described.join(_totals(file_changes), ["project", "sha"]).select(
-        "project",
-        "sha",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"),
-        F.struct(*head, *_TOTALS).alias("head"),
+    return described.join(forget_partitioning(totals, "project", "sha"), ["project", "sha"]).select(
+        "project", F.col("sha").alias("commit_hash"), *described.columns[2:], *_TOTALS
     )
-    return (
-        _gathered(file_changes, files_per_record, heads)
-        .where("head is not null")
+
+
+def head_files(heads: DataFrame, named: DataFrame) -> DataFrame:
+    """Changed files of the commits that have a head, in the flat shape of the sink."""
+    files = named.select(
+        "project", F.col("sha").alias("commit_hash"), F.col("pos").alias("file_pos"), "filename",
+        "diff_content", "lines_added", "lines_deleted",
+    )
+    return only_in(files, heads, ["project", "commit_hash"])
+
+
+def nested_records(heads: DataFrame, files: DataFrame) -> DataFrame:
+    """A view for callers who want one nested record per commit, whatever its size."""
+    diff = F.struct("diff_content", "lines_added", "lines_deleted")
+    maps = (
+        files.groupBy("project", "commit_hash")
+        .agg(F.array_sort(F.collect_list(F.struct("file_pos", "filename", diff.alias("diff")))).alias("f"))
         .select(
             "project",
-            "part",
-            F.col("sha").alias("commit_hash"),
-            *[f"head.{c}" for c in head],
-            F.struct(*[f"head.{c}" for c in _TOTALS], "file_diffs").alias("diff_stats"),
+            "commit_hash",
+            F.map_from_entries(
+                F.transform("f", lambda x: F.struct(x["filename"], x["diff"]))
+            ).alias("file_diffs"),
         )
     )
+    return heads.join(maps, ["project", "commit_hash"]).select(
+        *[c for c in heads.columns if c not in _TOTALS],
+        F.struct(*_TOTALS, "file_diffs").alias("diff_stats"),
+    )

@@ -15,6 +15,8 @@ from ..functions.authors import UNKNOWN
 from .membership import with_hash
 
 _COMMIT = ["project", "sha"]
+# Columns that, if present, give the place of a listing among all.
+LISTING_ORDER = ("batch", "file", "pos")
 
 
 def resolved_authors(listed: DataFrame, commits: DataFrame) -> DataFrame:
@@ -32,32 +34,49 @@ def resolved_authors(listed: DataFrame, commits: DataFrame) -> DataFrame:
     )
 
 
-def effort_by_author(listed: DataFrame, delta: DataFrame) -> DataFrame:
-    """Change of all listed commits per author. A commit counts once per listing."""
-    stated = stated_author(F.col("authorName"), F.col("author")).alias("stated")
-    author = or_default(F.coalesce("stated", "log_author"), UNKNOWN)
+def credited(listed: DataFrame, delta: DataFrame) -> DataFrame:
+    """Every listing with the change of its commit: what all three results are made of.
+
+    Columns that give a listing's place stay.
+    """
     return (
         with_hash(listed)
-        .select("project", "sha", stated)
+        .select(
+            "project",
+            "sha",
+            *(c for c in LISTING_ORDER if c in listed.columns),
+            stated_author(F.col("authorName"), F.col("author")).alias("stated"),
+            F.col("refactorings.type").alias("types"),
+        )
         .join(delta, _COMMIT, "left")
-        .groupBy("project", author.alias("author"))
+    )
+
+
+def author_effort(credited: DataFrame) -> DataFrame:
+    author = or_default(F.coalesce("stated", "log_author"), UNKNOWN)
+    return credited.groupBy("project", author.alias("author")).agg(
+        F.coalesce(F.sum("tloc"), F.lit(0)).alias("effort")
+    )
+
+
+def type_effort(credited: DataFrame) -> DataFrame:
+    return (
+        credited.select("project", F.explode("types").alias("type"), "tloc")
+        .where("type is not null")
+        .groupBy("project", "type")
         .agg(F.coalesce(F.sum("tloc"), F.lit(0)).alias("effort"))
     )
 
 
+def effort_by_author(listed: DataFrame, delta: DataFrame) -> DataFrame:
+    """Change of all listed commits per author. A commit counts once per listing."""
+    return author_effort(credited(listed, delta))
+
+
 def effort_by_type(listed: DataFrame, delta: DataFrame) -> DataFrame:
     """Each refactoring credits its type with the whole change of its commit.
 
     Listings without refactorings stay out of the shuffle, and the others travel as one
     row each: they are taken apart only after they have met their change.
     """
-    return (
-        with_hash(listed)
-        .select("project", "sha", F.col("refactorings.type").alias("types"))
-        .where("size(types) > 0")
-        .join(delta.select("project", "sha", "tloc"), _COMMIT, "left")
-        .select("project", F.explode("types").alias("type"), "tloc")
-        .where("type is not null")
-        .groupBy("project", "type")
-        .agg(F.coalesce(F.sum("tloc"), F.lit(0)).alias("effort"))
-    )
+    return type_effort(credited(listed.where("size(refactorings) > 0"), delta))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .membership import forget_partitioning, only_in
+from .membership import forget_partitioning, not_in, only_in
 
 PAGE_SIZE = 100
 _REPO = ["owner", "repo"]
@@ -31,8 +31,23 @@ def with_item_count(pages: DataFrame) -> DataFrame:
     return pages.withColumn("n_items", n.cast("bigint"))
 
 
+def page_gaps(pages: DataFrame) -> DataFrame:
+    """Repositories with a missing page: the first page after the first gap.
+
+    Pages count from 1. A page begins a run if the one before it is absent; the lowest
+    such page other than 1 lies behind the gap. Only narrow keys are shuffled.
+    """
+    there = pages.select(*_REPO, F.col("page").cast("long").alias("page")).where("page >= 1").distinct()
+    follows = there.select(*_REPO, (F.col("page") + 1).alias("page"))
+    return (
+        not_in(there.where("page > 1"), follows, [*_REPO, "page"])
+        .groupBy(*_REPO)
+        .agg(F.min("page").alias("behind_gap"))
+    )
+
+
 def mark_pages(pages: DataFrame, full: int = PAGE_SIZE) -> DataFrame:
-    """Flag the pages up to the first bad, empty or short one as ``kept``.
+    """Flag the pages up to the first bad, empty, short or missing one as ``kept``.
 
     Only a short page is itself kept. Where a repository stops is the lowest such
     page, an aggregate that combines on the map side. No window runs over a
@@ -41,12 +56,18 @@ def mark_pages(pages: DataFrame, full: int = PAGE_SIZE) -> DataFrame:
     good = F.coalesce((F.col("status") == 200) & (F.col("n_items") > 0), F.lit(False))
     stops = (
         pages.where(~good | (F.col("n_items") < full))
+        .select(*_REPO, F.col("page").cast("long").alias("_stop"))
+        .unionByName(page_gaps(pages).select(*_REPO, (F.col("behind_gap") - 1).alias("_stop")))
         .groupBy(*_REPO)
-        .agg(F.min("page").alias("_stop"))
+        .agg(F.min("_stop").alias("_stop"))
     )
     before = F.col("_stop").isNull() | (F.col("page") <= F.col("_stop"))
     stops = forget_partitioning(stops, *_REPO)
-    return pages.join(stops, _REPO, "left").withColumn("kept", good & before).drop("_stop")
+    return (
+        pages.join(stops, _REPO, "left")
+        .withColumn("kept", good & before & (F.col("page") >= 1))
+        .drop("_stop")
+    )
 
 
 def collect_pages(pages: DataFrame, full: int = PAGE_SIZE) -> DataFrame:

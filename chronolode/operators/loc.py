@@ -95,16 +95,18 @@ def loc_delta(commits: DataFrame, totals: DataFrame) -> DataFrame:
 
 def tloc_report(listed: DataFrame, delta: DataFrame) -> DataFrame:
     """One row per listing. An unmeasured commit has no previous hash and no author."""
+    joined = with_hash(listed).select("project", "sha").join(delta, ["project", "sha"], "left")
+    return tloc_rows(joined)
+
+
+def tloc_rows(credited: DataFrame, *order: str) -> DataFrame:
+    """The report of listings that have met their change; ``order`` columns stay."""
     author = F.when(F.col("previous_hash").isNotNull(), F.col("log_author"))
-    return (
-        with_hash(listed)
-        .select("project", "sha")
-        .join(delta, ["project", "sha"], "left")
-        .select(
-            "project",
-            F.col("sha").alias("refactoring_hash"),
-            or_default(F.col("previous_hash"), NO_HASH).alias("previous_hash"),
-            or_default(author, UNKNOWN).alias("author"),
-            F.coalesce("tloc", F.lit(0)).cast("bigint").alias("TLOC"),
-        )
+    return credited.select(
+        "project",
+        *order,
+        F.col("sha").alias("refactoring_hash"),
+        or_default(F.col("previous_hash"), NO_HASH).alias("previous_hash"),
+        or_default(author, UNKNOWN).alias("author"),
+        F.coalesce("tloc", F.lit(0)).cast("bigint").alias("TLOC"),
     )

@@ -23,7 +23,8 @@ def forget_partitioning(df: DataFrame, *keys: str) -> DataFrame:
     partitioning: some narrow rows are shuffled once more, and a key that holds a third
     of the other side no longer ends in one task.
     """
-    return df.withColumns({k: F.concat(F.col(k), F.lit("")) for k in keys})
+    hidden = {k: F.concat(F.col(k), F.lit("")) for k in keys if dict(df.dtypes)[k] == "string"}
+    return df.withColumns(hidden)
 
 
 def with_hash(df: DataFrame, sha: str = "sha") -> DataFrame:

@@ -98,9 +98,11 @@ def refactoring_results(
     """Ingest new chunk files, then summarise the listed projects that have no summary yet."""
     landed = f"{out}/refactoring_commits"
     ingest_chunks(spark, chunks, landed, checkpoint, multi_line)
-    listed = M.listed_projects(landed_commits(spark, landed), projects)
+    wanted = projects.where("project <> ''")
+    listed = M.listed_projects(landed_commits(spark, landed), wanted)
     summary_path = f"{out}/refactoring_summary"
-    todo = M.unprocessed_projects(listed, _done_projects(spark, summary_path))
+    # The names still to do are narrow; a semi-join with them prunes the projects' folders.
+    todo = M.only_in(listed, M.not_in(wanted, _done_projects(spark, summary_path)))
     # The done projects stay untouched and are not in ``todo``: adding is enough.
     W.write_refactoring_summary(R.refactoring_summary(todo, commits), summary_path, mode="append")
     R.typeless_refactorings(listed).write.mode("overwrite").json(f"{out}/rejected_refactorings")
@@ -109,27 +111,33 @@ def refactoring_results(
 
 @_timed
 def diff_results(spark: SparkSession, commits: DataFrame, changes: DataFrame, out: str) -> None:
-    """Nested diff records of the projects that have none yet."""
+    """Diff records of the projects that have none yet, and the changes that cannot be used."""
     path = f"{out}/commit_diffs"
-    done = _done_projects(spark, path)
-    records = D.commit_diffs(
-        M.unprocessed_projects(commits, done), M.unprocessed_projects(changes, done)
+    todo = M.not_in(
+        commits.select("project").distinct(), _done_projects(spark, f"{path}/commits")
     )
-    W.write_commit_diffs(records, path, mode="append")
+    fresh = M.only_in(changes, todo)
+    named = _store(D.named_changes(fresh), f"{out}/named_changes")
+    heads = _store(D.commit_heads(M.only_in(commits, todo), named), f"{out}/diff_heads")
+    W.write_commit_diffs(heads, D.head_files(heads, named), path, mode="append")
+    D.file_change_rejects(fresh.drop("diff")).write.mode("append").json(f"{out}/rejected_changes")
 
 
 @_timed
 def effort_results(commits: DataFrame, reports: DataFrame, listed: DataFrame, out: str) -> None:
     """LOC change report and both effort maps of the projects with refactoring results.
 
-    Every snapshot is totalled and every change computed once, for all three results.
+    Only listed commits are measured, and only reports of them and their first parents are
+    totalled. Listings meet their change once; all three results come from that.
     """
-    measured = M.projects_with_results(commits, listed)
-    delta = _store(L.loc_delta(measured, L.snapshot_loc(reports)), f"{out}/loc_delta")
-    W.write_tloc(L.tloc_report(listed, delta), f"{out}/tloc")
-    W.write_effort(
-        E.effort_by_author(listed, delta), E.effort_by_type(listed, delta), f"{out}/effort"
-    )
+    commit = ["project", "sha"]
+    measured = M.only_in(commits, listed, commit)
+    needed = measured.select(*commit).union(C.with_parent(measured).select("project", "previous_hash"))
+    totals = L.snapshot_loc(M.only_in(reports, needed, commit))
+    credited = _store(E.credited(listed, L.loc_delta(measured, totals)), f"{out}/credited")
+    order = [c for c in E.LISTING_ORDER if c in credited.columns]
+    W.write_tloc(L.tloc_rows(credited, *order), f"{out}/tloc")
+    W.write_effort(E.author_effort(credited), E.type_effort(credited), f"{out}/effort")
 
 
 @_timed
@@ -137,6 +145,7 @@ def issue_results(pages: DataFrame, probe: DataFrame, out: str) -> None:
     """All issues of the repositories that keep them with their host, and their numbers."""
     tracked = I.tracked_pages(pages, probe)
     W.write_issues(I.issues(tracked), f"{out}/issues")
+    I.page_gaps(tracked).write.mode("overwrite").json(f"{out}/page_gaps")
     I.issue_counts(tracked).write.mode("overwrite").json(f"{out}/issue_counts")
     I.tracker_status(probe).where(F.col("tracker") != "github").write.mode("overwrite").json(
         f"{out}/untracked"

@@ -23,6 +23,9 @@ SQL_SETTINGS = {
 }
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
@@ -32,12 +35,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it.
 
-    Only a local master, where driver and executors share one disk, may fall
-    back to a fresh temporary folder.
+    Only a local master, where driver and executors share one disk, may leave it unset:
+    it gets one temporary folder for each application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="chronolode-")
+    application = spark.sparkContext.applicationId
+    if application not in _own_dirs:
+        _own_dirs[application] = tempfile.mkdtemp(prefix="chronolode-")
+    return _own_dirs[application]

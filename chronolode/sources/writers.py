@@ -1,5 +1,9 @@
 """Writers (K1-K7).
 
+Sinks hold flat rows, one for each URL, changed file, author or issue, in the same shape at
+every size; nested objects are views for callers who ask for them. Where a list has an order,
+rows are range-partitioned and sorted by it, so the files in name order are the list.
+
 A large project must not become one file written by one task, and a small one must
 not become a file per task. ``rebalance`` leaves that to the adaptive planner, which
 splits big projects and joins small ones by measured size.
@@ -10,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
+from ..operators.effort import LISTING_ORDER
 from ..operators.membership import forget_partitioning
 
-# Entries in one JSON object; longer maps are written as several objects.
+# Entries in one object of the object views.
 ENTRIES_PER_OBJECT = 1000
 
 
@@ -54,7 +59,8 @@ def url_objects(urls: DataFrame, limit: int = ENTRIES_PER_OBJECT) -> DataFrame:
 
 
 def write_urls(urls: DataFrame, path: str, mode: str = "overwrite") -> None:
-    url_objects(urls).orderBy("part").select("value").write.mode(mode).text(path)
+    """One row per project in list order."""
+    urls.select("pos", "project", "url").orderBy("pos", "project").write.mode(mode).json(path)
 
 
 def write_refactoring_commits(
@@ -67,16 +73,28 @@ def write_refactoring_summary(summary: DataFrame, path: str, mode: str = "overwr
     _by_project(summary, mode).json(path)
 
 
-def write_commit_diffs(records: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Nested records, newest commit first inside each project."""
-    ordered = records.orderBy("project", F.col("pos").desc(), "commit_hash", "part")
-    _partitioned(ordered.drop("pos"), mode, "project").json(path)
+def write_commit_diffs(
+    heads: DataFrame, files: DataFrame, path: str, mode: str = "overwrite"
+) -> None:
+    """Changed files with their place, then commits with theirs and their totals.
+
+    The commits come last: a project that has them is done.
+    """
+    _by_project(files, mode).parquet(f"{path}/files")
+    _by_project(heads, mode).json(f"{path}/commits")
 
 
 def write_tloc(report: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV rows; a report that knows its listings' places is written in their order."""
     columns = ["refactoring_hash", "previous_hash", "author", "TLOC"]
+    order = ["project", *(c for c in LISTING_ORDER if c in report.columns)]
+    if len(order) > 1:
+        placed = report.repartitionByRange(*order).sortWithinPartitions(*order)
+        sink = _partitioned(placed.select("project", *columns), mode, "project")
+    else:
+        sink = _by_project(report.select("project", *columns), mode)
     (
-        _by_project(report.select("project", *columns), mode)
+        sink
         .option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
@@ -92,15 +110,25 @@ def effort_objects(by_author: DataFrame, by_type: DataFrame) -> DataFrame:
     return authors.join(types, ["project", "part"], "full")
 
 
+def effort_rows(by_author: DataFrame, by_type: DataFrame) -> DataFrame:
+    """Both effort maps as rows: which map, key and effort."""
+    authors = by_author.select(
+        "project", F.lit("author").alias("map"), F.col("author").alias("key"), "effort"
+    )
+    types = by_type.select(
+        "project", F.lit("type").alias("map"), F.col("type").alias("key"), "effort"
+    )
+    return authors.unionByName(types)
+
+
 def write_effort(
     by_author: DataFrame, by_type: DataFrame, path: str, mode: str = "overwrite"
 ) -> None:
-    _by_project(effort_objects(by_author, by_type), mode).json(path)
+    _by_project(effort_rows(by_author, by_type), mode).json(path)
 
 
 def write_issues(issues: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """All issues of all repositories, each as the JSON text it came as."""
-    ordered = issues.hint("rebalance", "owner", "repo").sortWithinPartitions(
-        "owner", "repo", "page", "pos"
-    )
+    """All issues of all repositories, each as the JSON text it came as, in page order."""
+    place = ["owner", "repo", "page", "pos"]
+    ordered = issues.repartitionByRange(*place).sortWithinPartitions(*place)
     _partitioned(ordered.select("owner", "repo", "issue"), mode, "owner", "repo").text(path)

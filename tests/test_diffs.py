@@ -61,20 +61,31 @@ def test_a_last_change_without_text_still_wins(spark):
     assert (row.diff_content, row.lines_added) == (None, 0)
 
 
+def records(spark, rows=CHANGES):
+    named = D.named_changes(changes(spark, rows))
+    heads = D.commit_heads(commits(spark), named)
+    return heads, D.head_files(heads, named)
+
+
+def test_heads_and_files(spark, rows):
+    heads, files = records(spark)
+    assert rows(heads) == [
+        ("p", "c", 1, "root", "A", "2024-01-02T00:00:00+02:00", "m1", 1, 1, 3, 3, 3),
+        ("p", "d", 2, "c", "B", "2024-01-03T00:00:00+00:00", "m2", 0, 0, 0, 0, 1),
+    ]
+    assert rows(files) == [
+        ("p", "c", 0, "a.java", "+1\n+2\n-3", 2, 1),
+        ("p", "c", 1, "b.java", "-1\n-2", 0, 2),
+        ("p", "d", 0, "bin", None, 0, 0),
+    ]
+
+
 def test_nested_records(spark):
-    records = D.commit_diffs(commits(spark), changes(spark))
-    got = {r.commit_hash: r for r in records.withColumn("s", F.to_json("diff_stats")).collect()}
-    assert set(got) == {"c", "d"}
-    c = got["c"]
-    assert (c.previous_commit_hash, c.author, c.date, c.message, c.part) == (
-        "root",
-        "A",
-        "2024-01-02T00:00:00+02:00",
-        "m1",
-        0,
-    )
-    stats = json.loads(c.s)
-    assert stats == {
+    got = {
+        r.commit_hash: json.loads(r.s)
+        for r in D.nested_records(*records(spark)).withColumn("s", F.to_json("diff_stats")).collect()
+    }
+    assert got["c"] == {
         "files_added": 1,
         "files_deleted": 1,
         "lines_added": 3,
@@ -85,27 +96,32 @@ def test_nested_records(spark):
             "b.java": {"diff_content": "-1\n-2", "lines_added": 0, "lines_deleted": 2},
         },
     }
-    assert list(stats["file_diffs"]) == ["a.java", "b.java"]
-    assert json.loads(got["d"].s)["file_diffs"] == {"bin": {"lines_added": 0, "lines_deleted": 0}}
-
-
-def test_file_maps_keep_first_places(spark):
-    got = {r.sha: r.file_diffs for r in D.file_diff_map(changes(spark)).collect()}
-    assert list(got["c"]) == ["a.java", "b.java"]
-    assert got["c"]["a.java"].lines_added == 2
-    assert set(got) == {"c", "d", "root"}
-
-
-def test_parts_of_a_large_commit_are_the_whole_map(spark):
-    many = [("p", "c", i, f"f{i % 70}", "MODIFY", "+x\n" * (i + 1)) for i in range(100)]
-    records = D.commit_diffs(commits(spark), changes(spark, many), files_per_record=16).collect()
-    # Positions 0 to 15 are all overwritten later: their part holds nothing.
-    assert sorted(r.part for r in records) == [1, 2, 3, 4, 5, 6]
-    assert all(len(r.diff_stats.file_diffs) <= 16 for r in records)
-    assert {r.diff_stats.changed for r in records} == {100}
-    files = {}
-    for r in sorted(records, key=lambda r: r.part):
-        files.update(r.diff_stats.file_diffs)
-    assert {f: d.lines_added for f, d in files.items()} == {
-        f"f{i}": (i + 71 if i < 30 else i + 1) for i in range(70)
-    }
+    assert list(got["c"]["file_diffs"]) == ["a.java", "b.java"]
+    assert got["d"]["file_diffs"] == {"bin": {"lines_added": 0, "lines_deleted": 0}}
+
+
+def test_bad_changes_do_not_stop_the_others(spark, rows):
+    spoilt = [*CHANGES, ("p", "c", 3, None, "ADD", "+1"), ("p", None, 0, "x", "ADD", "+1"),
+              ("p", "c", 1, "c.java", "ADD", "+1"), ("p", "c", 9_000_000_000, "far", "ADD", "+1")]
+    heads, files = records(spark, spoilt)
+    assert rows(heads.where("commit_hash = 'c'"), "files_added", "changed") == [(3, 5)]
+    assert [r[3] for r in rows(files.where("commit_hash = 'c'"))] == ["a.java", "b.java", "c.java", "far"]
+    assert rows(D.file_change_rejects(changes(spark, spoilt))) == sorted(
+        [("p", "c", 3, 1, "nameless"), ("p", None, 0, 1, "nameless"), ("p", "c", 1, 2, "repeated position")],
+        key=repr,
+    )
+
+
+def test_a_huge_commit_has_the_shape_of_a_small_one(spark):
+    many = [("p", "c", i, f"f{i % 1500}", "MODIFY", "+x\n" * (i % 7 + 1)) for i in range(3000)]
+    heads, files = records(spark, many)
+    assert [r.changed for r in heads.collect()] == [3000]
+    got = {r.filename: (r.file_pos, r.lines_added) for r in files.collect()}
+    assert got == {f"f{i}": (i, (i + 1500) % 7 + 1) for i in range(1500)}
+
+
+def test_the_text_is_read_and_shuffled_once(spark, tmp_path):
+    changes(spark).write.parquet(str(tmp_path / "c"))
+    df = spark.read.schema(schemas.FILE_CHANGES).parquet(str(tmp_path / "c"))
+    plan = D.named_changes(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange hash") == 1

@@ -126,7 +126,7 @@ def test_project_lists(spark, tmp_path):
 
     def names(path, **options):
         found = readers.read_projects(spark, str(tmp_path / path), **options)
-        return [r.project for r in found.orderBy("pos").collect()]
+        return [r.project for r in found.orderBy("doc", "i").collect()]
 
     assert names("o.json") == ["b", "a", "c"]
     assert names("l.json") == ["z", "y"]
@@ -134,8 +134,10 @@ def test_project_lists(spark, tmp_path):
         [(f"n{i}", f"u{i}", i) for i in range(2500)], "project string, url string, pos bigint"
     )
     writers.write_urls(urls, str(tmp_path / "urls"))
-    assert len(lines_of(tmp_path / "urls")) == 3
-    assert sorted(names("urls", lines=True)) == sorted(f"n{i}" for i in range(2500))
+    written = [json.loads(x) for x in lines_of(tmp_path / "urls")]
+    assert written == [{"pos": i, "project": f"n{i}", "url": f"u{i}"} for i in range(2500)]
+    put(tmp_path, "lines/a.json", '["b", "a"]\n{"c": "u"}\n["a", "d"]\n')
+    assert names("lines", lines=True) == ["b", "a", "c", "d"]
 
 
 def test_loc_reports_keep_empty_and_failed_apart(spark, tmp_path, rows):
@@ -168,14 +170,22 @@ def test_commit_log_json(spark, tmp_path, rows):
         "on_head": True,
     }
     put(tmp_path, "log.json", "\n".join(json.dumps({**record, "sha": s}) for s in (" s1\n", "", " ")))
-    log = readers.read_commits(spark, str(tmp_path), "json")
+    log, rejects = readers.read_commits(spark, str(tmp_path), "json")
     got = rows(log, "sha", "author_name", "author_tz", F.unix_seconds("committer_ts"))
     assert got == [("s1", "Ann", "+02:30", 1706686200)]
+    assert rejects.count() == 0
+    put(tmp_path, "cut.json", '{"project": "p", "sha": "s2", "po\n{"project": "p", "sha": "s3", "pos": "x"}\n')
+    log, rejects = readers.read_commits(spark, str(tmp_path), "json")
+    assert rows(log, "sha") == [("s1",)]
+    assert {(os.path.basename(r.file), r.record[-5:]) for r in rejects.collect()} == {
+        ("cut.json", '", "po'[-5:]),
+        ("cut.json", '"x"}'.rjust(5)),
+    }
 
 
 def test_issue_pages_keep_the_raw_text(spark, tmp_path, rows):
     put(tmp_path, "a.json", '{"owner":"o","repo":"r","page":1,"status":200,"issues":[{"id":1,"b":{"c":"é"}}]}\n')
-    assert rows(readers.read_issue_pages(spark, str(tmp_path)), "issues") == [
+    assert rows(readers.read_issue_pages(spark, str(tmp_path))[0], "issues") == [
         (['{"id":1,"b":{"c":"é"}}'],)
     ]
 
@@ -192,20 +202,79 @@ def test_tloc_file(spark, tmp_path):
     ]
 
 
-def test_effort_objects_of_a_large_project(spark):
+def test_effort_rows_of_a_large_project(spark, tmp_path, rows):
     authors = spark.range(3000).select(
         F.lit("p").alias("project"), F.concat(F.lit("a"), "id").alias("author"), F.col("id").alias("effort")
     )
     types = spark.createDataFrame([("p", "M", 4), ("q", "M", 1)], "project string, type string, effort bigint")
-    found = writers.effort_objects(authors, types).collect()
-    merged = {}
-    for r in found:
-        assert len(r.developer_effort or {}) < 1400
-        if r.project == "p":
-            merged.update(r.developer_effort or {})
-    assert merged == {f"a{i}": i for i in range(3000)}
-    kinds = [(r.project, r.refactoring_effort) for r in found if r.refactoring_effort]
-    assert sorted(kinds) == [("p", {"M": 4}), ("q", {"M": 1})]
+    writers.write_effort(authors, types, str(tmp_path / "e"))
+    back = spark.read.schema("project string, map string, key string, effort bigint").json(str(tmp_path / "e"))
+    want = [("p", "author", f"a{i}", i) for i in range(3000)] + [("p", "type", "M", 4), ("q", "type", "M", 1)]
+    assert rows(back, "project", "map", "key", "effort") == sorted(want, key=repr)
+
+
+def test_issues_keep_their_order_however_many_files(spark, tmp_path):
+    issues = spark.range(40_000).select(
+        F.lit("o").alias("owner"), F.lit("r").alias("repo"), (F.col("id") / 100).cast("long").alias("page"),
+        (F.col("id") % 100).cast("int").alias("pos"), F.concat(F.lit('{"id":'), "id", F.lit("}")).alias("issue"),
+    ).repartition(7)
+    # As with large data, where the parts of a range are not joined to one file.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_issues(issues, str(tmp_path / "i"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(glob.glob(f"{tmp_path}/i/owner=o/repo=r/part-*")) > 1
+    assert lines_of(tmp_path / "i") == [f'{{"id":{i}}}' for i in range(40_000)]
+
+
+def test_long_diffs_are_read(spark, tmp_path):
+    change = {"project": "p", "sha": "s", "pos": 0, "filename": "f", "change_type": "ADD"}
+    put(tmp_path, "c.json", json.dumps({**change, "diff": "+x\n" * 8_000_000}) + '\n{"project": "q", "sh\n')
+    changes, rejects = readers.read_file_changes(spark, str(tmp_path), "json")
+    assert [tuple(r) for r in changes.select("sha", F.length("diff")).collect()] == [("s", 24_000_000)]
+    assert [r.record for r in rejects.collect()] == ['{"project": "q", "sh']
+
+
+def test_quoted_line_breaks_and_file_order(spark, tmp_path, rows):
+    put(tmp_path, "m/b.csv", 'h\n"3,x\ny"\n')
+    put(tmp_path, "m/a.csv", 'h\n"1,p"\n"2,q"\n' + '"9,zzz"\n' * 50)
+    measures = readers.read_measures(spark, str(tmp_path / "m"))
+    got = [r._c0 for r in measures.orderBy("pos").collect()]
+    assert got == ["1,p", "2,q", *["9,zzz"] * 50, "3,x\ny"]
+    assert [r.pos for r in measures.orderBy("pos").collect()] == list(range(53))
+
+
+def test_a_silent_tool_has_failed(spark, tmp_path, rows):
+    put(tmp_path, "p/a.json", '[{"Name": "Java", "Lines": 3}]')
+    put(tmp_path, "p/empty.json", "")
+    manifest = spark.createDataFrame([("p", "a"), ("p", "empty")], "project string, sha string")
+    assert rows(readers.read_loc_reports(spark, str(tmp_path), manifest), "sha", "status", "n_lines") == [
+        ("a", "ok", 3),
+        ("empty", "tool_failed", None),
+    ]
+
+
+def test_repaired_and_late_chunks_are_ingested(spark, tmp_path, rows):
+    source, target = (str(tmp_path / n) for n in ("in", "out"))
+    put(source, "p/chunk_1.json", chunk("s1")[:-40])
+    put(source, "p [x]/chunk_1.json", chunk("s2")[:-40])
+    put(source, "p/none.json", '{"commi')
+    ingest_chunks(spark, source, target)
+    assert rows(landed_commits(spark, target), "sha") == []
+    assert landed_rejects(spark, target).count() == 3
+    put(source, "p/chunk_1.json", chunk("s1"))
+    put(source, "p [x]/chunk_1.json", chunk("s2"))
+    put(source, "p/none.json", '{"commits": []}')
+    for name in glob.glob(f"{source}/*/*.json".replace("[", "[[]")):
+        os.utime(name, (os.path.getmtime(name) + 5,) * 2)
+    put(source, "q/old.json", chunk("s9"))
+    os.utime(f"{source}/q/old.json", (1_600_000_000,) * 2)
+    for _ in range(2):
+        ingest_chunks(spark, source, target)
+        assert rows(landed_commits(spark, target), "project", "sha") == [
+            ("p [x]", "s2"), ("p", "s1"), ("q", "s9")]
+        assert landed_rejects(spark, target).count() == 0
 
 
 def test_rewriting_one_project_leaves_the_others(spark, tmp_path, rows):
@@ -223,7 +292,8 @@ def test_written_listings_read_back(spark, tmp_path, rows):
     for fmt in ("parquet", "json", "orc"):
         path = str(tmp_path / fmt)
         writers.write_refactoring_commits(listed, path, fmt)
-        back = readers.read_refactoring_commits(spark, path, fmt)
+        back, rejects = readers.read_refactoring_commits(spark, path, fmt)
+        assert rejects.count() == 0
         assert rows(back, *listed.columns) == rows(listed)
 
 
@@ -266,7 +336,7 @@ def facts(spark, tmp_path):
     )
     for sha, n in (("s0", 5), ("s1", 9), ("s2", 2)):
         put(tmp_path, f"loc/p/{sha}.json", json.dumps([{"Name": "Java", "Lines": n}]))
-    return chunks, readers.read_commits(spark, str(tmp_path / "log"), "json")
+    return chunks, readers.read_commits(spark, str(tmp_path / "log"), "json")[0]
 
 
 def test_refactoring_and_effort_jobs(spark, tmp_path, facts, rows):
@@ -288,13 +358,10 @@ def test_refactoring_and_effort_jobs(spark, tmp_path, facts, rows):
     listed = landed_commits(spark, f"{out}/refactoring_commits")
     reports = readers.read_loc_reports(spark, str(tmp_path / "loc"))
     jobs.effort_results(commits, reports, listed.where("project = 'p'"), out)
-    assert sorted(lines_of(f"{out}/tloc/project=p")) == sorted(
-        ["refactoring_hash,previous_hash,author,TLOC", "s1,s0,Ann,4", "s2,s1,Bob,7"]
-    )
+    report = [x for x in lines_of(f"{out}/tloc/project=p") if not x.startswith("refactoring_hash")]
+    assert report == ["s1,s0,Ann,4", "s2,s1,Bob,7"]
     effort = [json.loads(t) for t in lines_of(f"{out}/effort/project=p")]
-    assert effort == [
-        {"part": 0, "developer_effort": {"A": 11}, "refactoring_effort": {"Move": 11}}
-    ]
+    assert sorted((e["map"], e["key"], e["effort"]) for e in effort) == [("author", "A", 11), ("type", "Move", 11)]
 
     jobs.work_plan(commits, listed, out)
     plan = [json.loads(t) for t in lines_of(f"{out}/work_plan")]
@@ -307,17 +374,20 @@ def test_diff_job_adds_only_new_projects(spark, tmp_path, facts):
 
     def run(*changes):
         jobs.diff_results(spark, commits, spark.createDataFrame(changes, schemas.FILE_CHANGES), out)
-        return [json.loads(t) for t in lines_of(f"{out}/commit_diffs/project=p")]
+        heads = [json.loads(t) for t in lines_of(f"{out}/commit_diffs/commits/project=p")]
+        files = spark.read.parquet(f"{out}/commit_diffs/files")
+        return sorted(heads, key=lambda h: h["pos"]), sorted(
+            (r.commit_hash, r.filename, r.diff_content, r.lines_added, r.lines_deleted) for r in files.collect()
+        )
 
     a = ("p", "s1", 0, "a", "ADD", "+1")
     b = ("p", "s2", 0, "b", "MODIFY", "-1\n+é")
-    first = run(a, b)
-    assert [r["commit_hash"] for r in first] == ["s2", "s1"]
-    assert first[0]["diff_stats"]["file_diffs"]["b"] == {
-        "diff_content": "-1\n+é",
-        "lines_added": 1,
-        "lines_deleted": 1,
-    }
+    nameless = ("p", "s2", 1, None, "MODIFY", "+1")
+    first = run(a, b, nameless)
+    assert [(h["commit_hash"], h["changed"], h["lines_deleted"]) for h in first[0]] == [("s1", 1, 0), ("s2", 1, 1)]
+    assert first[1] == [("s1", "a", "+1", 1, 0), ("s2", "b", "-1\n+é", 1, 1)]
+    rejected = [json.loads(t) for t in lines_of(f"{out}/rejected_changes")]
+    assert [(r["sha"], r["pos"], r["reason"]) for r in rejected] == [("s2", 1, "nameless")]
     assert run(a) == first
 
 
@@ -336,7 +406,8 @@ def test_url_and_issue_jobs(spark, tmp_path):
     out = str(tmp_path / "out")
     measures = spark.createDataFrame([("1,o_n,z", 0), ("2,a_b_c,z", 1)], "_c0 string, pos bigint")
     jobs.url_list(measures, out)
-    assert lines_of(f"{out}/repos_urls") == ['{"o_n":"https://github.com/o/n"}']
+    urls = [json.loads(x) for x in lines_of(f"{out}/repos_urls")]
+    assert urls == [{"pos": 0, "project": "o_n", "url": "https://github.com/o/n"}]
     assert [json.loads(t)["project"] for t in lines_of(f"{out}/rejected_names")] == ["a_b_c"]
 
     pages = spark.createDataFrame(

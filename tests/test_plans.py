@@ -127,13 +127,6 @@ def log_authors_of_a_hot_commit(ids):
     return E.resolved_authors(listings_of_a_hot_commit(ids), log)
 
 
-def files_of_a_hot_name(ids):
-    changes = ids.selectExpr(
-        "'p' project", "'c' sha", "id pos", f"{HOT_KEY} filename", "'ADD' change_type", "'+' diff"
-    )
-    return D.file_diff_map(changes)
-
-
 def children_of_a_hot_parent(ids):
     commits = ids.selectExpr(
         "'p' project", "cast(id as string) sha", f"array({HOT_KEY}) parents", "'x' author_name"
@@ -173,7 +166,6 @@ def authors_of_a_hot_project(ids):
         authors_of_a_hot_commit,
         types_of_a_hot_commit,
         log_authors_of_a_hot_commit,
-        files_of_a_hot_name,
         children_of_a_hot_parent,
         pages_of_a_hot_repository,
         commits_of_a_hot_project,
