@@ -113,9 +113,8 @@ def refactoring_results(
 def diff_results(spark: SparkSession, commits: DataFrame, changes: DataFrame, out: str) -> None:
     """Diff records of the projects that have none yet, and the changes that cannot be used."""
     path = f"{out}/commit_diffs"
-    todo = M.not_in(
-        commits.select("project").distinct(), _done_projects(spark, f"{path}/commits")
-    )
+    names = commits.where("project <> ''").select("project").distinct()
+    todo = M.not_in(names, _done_projects(spark, f"{path}/commits"))
     fresh = M.only_in(changes, todo)
     named = _store(D.named_changes(fresh), f"{out}/named_changes")
     heads = _store(D.commit_heads(M.only_in(commits, todo), named), f"{out}/diff_heads")

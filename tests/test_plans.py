@@ -194,3 +194,15 @@ def test_a_hot_key_does_not_stay_in_one_task(spark, query):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert "skew=true" in text
+
+
+def test_finished_projects_are_not_read_again(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = spark.range(200).selectExpr("concat('p', id % 20) project", "cast(id as string) sha")
+    rows.write.partitionBy("project").parquet(path)
+    changes = spark.read.schema("sha string, project string").parquet(path)
+    names = rows.where("project <> ''").select("project").distinct()
+    done = spark.createDataFrame([(f"p{i}",) for i in range(15)], "project string")
+    todo = M.only_in(changes, M.not_in(names, done))
+    assert todo.count() == 50
+    assert "dynamicpruning" in todo._jdf.queryExecution().executedPlan().toString().lower()
