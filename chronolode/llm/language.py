@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolode.llm.common import fold, map_arrow, with_fields
+from chronolode.llm.common import fold, map_arrow, stored, with_fields
 
 UNKNOWN = "und"
 # Expected number of sampled training rows and landmarks per language.
@@ -116,15 +116,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Mo
         (F.lit(2.0**62 * sample) / F.count(F.lit(1))).alias("below")
     )
     order = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
-    drawn = (
-        known.select("lang", "text", order.alias("draw"))
+    # Only ids of the draw meet the shares; the texts are then picked by the few drawn ones,
+    # a table of known size, without a shuffle of the corpus.
+    chosen = stored(
+        known.select("lang", order.alias("draw"))
         .join(share, F.col("lang") == F.col("of"))
         .where(F.col("draw") < F.col("below"))
-        .select("lang", "text", "draw")
+        .select("of", F.col("draw").alias("drawn"))
+        .distinct(),
+        "drawn",
+    )
+    drawn = known.select("lang", "text", order.alias("draw")).join(
+        chosen, (F.col("lang") == F.col("of")) & (F.col("draw") == F.col("drawn")), "left_semi"
     )
     marks = (
-        drawn.groupBy("lang")
-        .agg(F.slice(F.array_sort(F.collect_set("draw")), 1, sample).alias("draws"))
+        chosen.groupBy(F.col("of").alias("lang"))
+        .agg(F.slice(F.array_sort(F.collect_set("drawn")), 1, sample).alias("draws"))
         .collect()
     )
     if not marks:
