@@ -88,16 +88,11 @@ def brute_components(rows, percent):
     return out, [top(i) for i in range(len(rows))], sets
 
 
-@pytest.mark.parametrize("percent", [75, 90])
-def test_jaccard_components(spark, corpus, percent):
-    want, group, sets = brute_components(corpus, percent)
-    df = frame(spark, corpus)
-    found = [tuple(r) for r in jaccard.components(df, percent).collect()]
-    assert sorted(found, key=repr) == sorted(want, key=repr)
-
-
-def test_jaccard_pair_join_of_the_rest(spark, corpus, monkeypatch):
-    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+@pytest.mark.parametrize(("rounds", "held"), [(jaccard.ROUNDS, jaccard.LONG_RUN), (1, 8)])
+def test_jaccard_components(spark, corpus, monkeypatch, rounds, held):
+    """Also with one round, where the pair join does the rest, and regions too long to hold."""
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "LONG_RUN", held)
     want, _, _ = brute_components(corpus, 75)
     found = [tuple(r) for r in jaccard.components(frame(spark, corpus)).collect()]
     assert sorted(found, key=repr) == sorted(want, key=repr)
@@ -182,6 +177,43 @@ def test_line_dedup(spark, line_rows):
     assert line_dedup.deduplicated(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("nearest", "held"), [(1, line_dedup.LONG_RUN), (1, 20)])
+def test_lines_with_more_candidates_than_are_tried(spark, line_rows, monkeypatch, nearest, held):
+    monkeypatch.setattr(line_dedup, "NEAREST", nearest)
+    monkeypatch.setattr(line_dedup, "LONG_RUN", held)
+    df = frame(spark, line_rows).repartition(5)
+    gone = brute_lines(line_rows, line_dedup.PERCENT)
+    assert {tuple(r) for r in line_dedup.removed_lines(df).collect()} == gone
+
+
+@pytest.mark.parametrize("keys", [80, 3])
+def test_pairs_of_a_run_are_those_that_pass(keys):
+    draw = np.random.default_rng(keys)
+    n, p = 300, 80
+    rows = {
+        "key": np.sort(draw.integers(0, keys, n)),
+        "node": draw.integers(0, 200, n),
+        "size": draw.integers(5, 40, n),
+        "bits": draw.integers(0, 16, n),
+    }
+    rows["left"] = rows["size"] - draw.integers(0, 3, n)
+    x, y, distance = line_dedup._pairs_in_runs(rows, p)
+    for i in range(n):
+        want = []
+        for j in range(i):
+            m, k = rows["size"][i], rows["size"][j]
+            d = int(rows["bits"][i] ^ rows["bits"][j]).bit_count()
+            if (
+                rows["key"][i] == rows["key"][j] and rows["node"][i] != rows["node"][j]
+                and 100 * min(m, k) >= p * max(m, k) and (100 + p) * d <= (100 - p) * (m + k)
+                and min(rows["left"][i], rows["left"][j]) >= math.ceil(p * (m + k) / (100 + p))
+            ):
+                want.append(d)
+        got = sorted(distance[x == i].tolist())
+        assert got[:5] == sorted(want)[:5]
+        assert (len(got) > line_dedup.NEAREST) == (len(want) > line_dedup.NEAREST)
+
+
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_query_agrees_with_its_sql(spark, name):
     want = duck(SMALL).sql(ORACLE[name]).to_arrow_table().to_pandas()
