@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from chronolode.llm.arrays import Words, sets
+from chronolode.llm.arrays import Words, mix, sets
 from chronolode.llm.common import WORD, map_arrow, stored, text_steps, with_fields
 from chronolode.llm.setjoin import (
     COUNTER_BITS,
@@ -52,6 +52,8 @@ from chronolode.llm.setjoin import (
 SHINGLE = 5
 PERCENT = 75
 ROUNDS = 3
+# Rows of one region that a task holds at most.
+LONG_RUN = 16_384
 
 
 def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,17 +133,79 @@ def _regions(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
 
 def _members(regions: DataFrame) -> DataFrame:
-    """Rows of regions with more than one node; both uses read one shuffle by key."""
-    keyed = regions.select("key", F.struct("node", "size", "left").alias("m")).repartition("key")
-    shared = (
-        keyed.groupBy(F.col("key").alias("shared"))
-        .agg(F.min("m").alias("low"), F.max("m").alias("high"))
-        .where("low.node <> high.node")
-    )
+    """(key, node, size, left): regions with more than one node, equal regions only once.
+
+    After one shuffle by shingle the sorted rows stream by. Near copies share many shingles
+    and so meet in many regions of the same nodes; a region is therefore renamed to a
+    fingerprint of its nodes, and regions of one name are merged (with the largest ``left``
+    of each node, which keeps every pair the filters would let pass). Regions of more than
+    ``LONG_RUN`` rows are not held; they keep their shingle as name.
+    """
+    names = ["key", "node", "size", "left"]
+
+    def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=names)
+
+    def whole(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, node = rows[0], rows[1]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node, size, left = (r[fresh] for r in rows)
+        start = np.ones(len(key), bool)
+        start[1:] = key[1:] != key[:-1]
+        run = np.cumsum(start) - 1
+        length = np.bincount(run)
+        total = np.zeros(len(key) + 1, np.uint64)
+        np.cumsum(mix(node.view(np.uint64)), out=total[1:])
+        end = np.cumsum(length)
+        name = mix(total[end] - total[end - length] + length.astype(np.uint64)).view(np.int64)[run]
+        keep = length[run] > 1
+        name, node, size, left = name[keep], node[keep], size[keep], left[keep]
+        # Merge equal regions of this stretch; the rest is merged after the next shuffle.
+        order = np.lexsort((-left, node, name))
+        name, node, size, left = name[order], node[order], size[order], left[order]
+        best = np.ones(len(name), bool)
+        best[1:] = (name[1:] != name[:-1]) | (node[1:] != node[:-1])
+        yield emit([name[best], node[best], size[best], left[best]])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size, long_key = 0, None
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in names])
+            size += batch.num_rows
+            if size < LONG_RUN:
+                continue
+            rows = [np.concatenate(c) for c in zip(*held)]
+            if long_key is not None:
+                cut = int(np.searchsorted(rows[0], long_key, "right"))
+                yield emit([r[:cut] for r in rows])
+                rows = [r[cut:] for r in rows]
+                long_key = None if len(rows[0]) else long_key
+            if len(rows[0]):
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))
+                if cut:
+                    yield from whole([r[:cut] for r in rows])
+                rows = [r[cut:] for r in rows]
+                if len(rows[0]) >= LONG_RUN:
+                    long_key = rows[0][0]
+                    yield emit(rows)
+                    rows = [r[:0] for r in rows]
+            held, size = [rows], len(rows[0])
+        rows = [np.concatenate(c) for c in zip(*held)] if held else None
+        if rows is not None and long_key is not None:
+            cut = int(np.searchsorted(rows[0], long_key, "right"))
+            yield emit([r[:cut] for r in rows])
+            rows = [r[cut:] for r in rows]
+        if rows is not None and len(rows[0]):
+            yield from whole(rows)
+
     return (
-        keyed.join(shared, F.col("key") == F.col("shared"), "left_semi")
-        .select("key", "m.*")
-        .dropDuplicates(["key", "node"])
+        regions.repartition("key")
+        .sortWithinPartitions("key", "node")
+        .mapInArrow(stream, "key long, node long, size int, left int")
+        .groupBy("key", "node")
+        .agg(F.max("size").alias("size"), F.max("left").alias("left"))
     )
 
 
