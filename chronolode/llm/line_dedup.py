@@ -10,9 +10,10 @@ NULL ids last. A removed line still removes its own later matches.
 The bitmap filter compares 64-bit images of two token sets: their differing bits are at most
 the differing tokens.
 
-Lines with equal sets are one node, known by its first place. Pairs are first formed with the
-earliest line of each token only, which settles tight groups of copies in linear work; lines
-without an earlier match by then are joined with all earlier lines that pass the filters.
+Lines with equal sets are one node, known by its first place. A line is first tried with a few
+earlier lines of each token, those nearest by bitmap, which settles tight groups of copies in
+linear work; lines that had more candidates and no match among the tried ones are then joined
+with all earlier lines that pass the filters.
 
 Defined results: a NULL text stays NULL and has no lines; removing keeps the other lines and
 their order and joins them with line feeds; a text may become empty. Rows with the same id
@@ -45,6 +46,13 @@ from chronolode.llm.setjoin import (
 
 LEAST_WORDS = 5
 PERCENT = 80
+# Earlier lines a line is tried with in each token before the others are looked at.
+NEAREST = 4
+# Lines of one token that are compared lag by lag, and that a task holds at most.
+SHORT_RUN = 32
+LONG_RUN = 16_384
+ROWS_AT_ONCE = 128
+FAR = 1 << 20
 LAST = (1 << 63) - 1  # place of a NULL id
 
 
@@ -74,12 +82,14 @@ class Lines:
         np.bitwise_or.at(out, self.of, np.uint64(1) << (self.code & np.uint64(63)))
         return out
 
-    def fresh(self, met: set[int]) -> np.ndarray:
-        """Which lines are the first of their node that the task sees."""
+    def fresh(self, met: dict[int, tuple[int, int]], doc: np.ndarray) -> np.ndarray:
+        """Which lines have an earlier place than all of their node that the task has seen."""
         out = np.zeros(len(self.size), bool)
-        for i, name in enumerate(self.node.tolist()):
-            if name not in met:
-                met.add(name)
+        places = zip(doc[self.row].tolist(), self.number.tolist())
+        for i, (name, place) in enumerate(zip(self.node.tolist(), places)):
+            known = met.get(name)
+            if known is None or place < known:
+                met[name] = place
                 out[i] = True
         return out
 
@@ -124,11 +134,12 @@ def _tokens(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """(key, node, size, left, bits, doc, line): prefix tokens of each node a task sees first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: dict[int, tuple[int, int]] = {}
         for batch in batches:
             for part in text_steps(batch):
                 lines = Lines(part.column("text"))
-                fresh, bits = lines.fresh(met), lines.bitmap()
+                docs_of = part.column("doc").to_numpy()
+                fresh, bits = lines.fresh(met, docs_of), lines.bitmap()
                 keep = fresh[lines.of]
                 number = np.cumsum(fresh) - 1
                 size = lines.size[fresh]
@@ -148,26 +159,150 @@ def _tokens(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     )
 
 
-def _members(tokens: DataFrame) -> DataFrame:
-    """Tokens with more than one node, each node once with the first place a task met it at."""
-    keyed = tokens.select(
-        "key", F.struct("doc", "line", "node", "size", "left", "bits").alias("m")
-    ).repartition("key")
-    shared = (
-        keyed.groupBy(F.col("key").alias("shared"))
-        .agg(
-            F.min("m").alias("leader"),
-            F.min("m.node").alias("low"),
-            F.max("m.node").alias("high"),
-        )
-        .where("low <> high")
-        .select("shared", "leader")
+def _passes(a: dict, b: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which row pairs (arrays that broadcast) pass all filters, and their bit distances."""
+    m, n = a["size"], b["size"]
+    distance = np.bitwise_count((a["bits"] ^ b["bits"]).view(np.uint64)).astype(np.int64)
+    both = m + n
+    good = (
+        (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+        & ((100 + percent) * distance <= (100 - percent) * both)
+        & (np.minimum(a["left"], b["left"]) * (100 + percent) >= percent * both)
+        & (a["node"] != b["node"])
     )
+    return good, distance
+
+
+def _pairs_in_runs(
+    rows: dict[str, np.ndarray], percent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs (later, earlier) of equal keys that pass all filters, and their bit distance.
+
+    Rows are ordered by key and place. Short runs are compared lag by lag, all at once. In
+    longer ones some rows at a time are compared with those whose size is near enough, and
+    of what passes the ``NEAREST + 1`` nearest are kept for each.
+    """
+    key = rows["key"]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    place = np.arange(len(key)) - start
+    bounds = np.append(np.flatnonzero(first), len(key))
+    length = np.diff(bounds)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    x = np.flatnonzero(np.repeat(length <= SHORT_RUN, length) & (place > 0))
+    for lag in range(1, SHORT_RUN):
+        x = x[place[x] >= lag]
+        if not len(x):
+            break
+        y = x - lag
+        good, distance = _passes(
+            {c: v[x] for c, v in rows.items()}, {c: v[y] for c, v in rows.items()}, percent
+        )
+        found.append((x[good], y[good], distance[good]))
+    for a, n in zip(bounds[:-1][length > SHORT_RUN], length[length > SHORT_RUN]):
+        order = a + np.argsort(rows["size"][a : a + n], kind="stable")
+        size = rows["size"][order]
+        for i in range(0, n, ROWS_AT_ONCE):
+            x = order[i : i + ROWS_AT_ONCE]
+            low = np.searchsorted(size, percent * int(size[i]) // 100)
+            high = np.searchsorted(size, 100 * int(rows["size"][x[-1]]) // percent + 1, "right")
+            y = order[low:high]
+            good, distance = _passes(
+                {c: v[x][:, None] for c, v in rows.items()},
+                {c: v[y][None, :] for c, v in rows.items()},
+                percent,
+            )
+            distance[~(good & (y[None, :] < x[:, None]))] = FAR
+            if len(y) > NEAREST + 1:
+                near = np.argpartition(distance, NEAREST, axis=1)[:, : NEAREST + 1]
+                distance = np.take_along_axis(distance, near, 1)
+            else:
+                near = np.broadcast_to(np.arange(len(y)), distance.shape)
+            at, pick = np.nonzero(distance < FAR)
+            found.append((x[at], y[near[at, pick]], distance[at, pick]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
+    """(later, earlier, key): candidate pairs, and with ``earlier`` NULL what they leave out.
+
+    One shuffle by token. A line is paired, in each of its tokens, with the ``NEAREST``
+    earlier lines by bit distance (each task sends a node with its earliest place there, so the
+    place of a node's first line is always among its rows); if more pass the filters, a row without ``earlier`` says
+    so. Of a token with more than ``LONG_RUN`` lines none is held: each of its lines is
+    paired with the earliest, and all but that one are said to have more.
+    """
+    columns = ["key", "node", "size", "left", "bits"]
+    out = ["later", "earlier", "key"]
+
+    def emit(later, earlier, key) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(later, pa.int64()), pa.array(earlier, pa.int64()), pa.array(key, pa.int64())],
+            names=out,
+        )
+
+    def whole(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x, y, distance = _pairs_in_runs(rows, percent)
+        order = np.lexsort((y, distance, x))
+        x, y = x[order], y[order]
+        at = np.arange(len(x)) - np.searchsorted(x, x)
+        near, more = at < NEAREST, at == NEAREST
+        node, key = rows["node"], rows["key"]
+        pairs = np.unique(np.stack([node[x[near]], node[y[near]]]), axis=1)
+        yield emit(pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64))
+        yield emit(node[x[more]], pa.nulls(int(more.sum()), pa.int64()), key[x[more]])
+
+    def long_run(rows: dict[str, np.ndarray], leader: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = rows["node"] != leader["node"][0]
+        node, m, n = rows["node"][x], rows["size"][x], int(leader["size"][0])
+        distance = np.bitwise_count((rows["bits"][x] ^ leader["bits"][0]).view(np.uint64)).astype(np.int64)
+        near = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (
+            (100 + percent) * distance <= (100 - percent) * (m + n)
+        )
+        k = int(near.sum())
+        yield emit(node[near], np.full(k, leader["node"][0]), np.zeros(k, np.int64))
+        yield emit(node, pa.nulls(len(node), pa.int64()), rows["key"][x])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size, leader = 0, None
+        for batch in batches:
+            rows = {c: batch.column(c).to_numpy().astype(np.int64, copy=False) for c in columns}
+            held.append(rows)
+            size += len(rows["key"])
+            if size < LONG_RUN:
+                continue
+            rows = {c: np.concatenate([h[c] for h in held]) for c in columns}
+            if leader is not None:
+                cut = int(np.searchsorted(rows["key"], leader["key"][0], "right"))
+                yield from long_run({c: v[:cut] for c, v in rows.items()}, leader)
+                rows = {c: v[cut:] for c, v in rows.items()}
+                leader = leader if not len(rows["key"]) else None
+            if len(rows["key"]):
+                cut = int(np.searchsorted(rows["key"], rows["key"][-1]))
+                if len(rows["key"]) - cut >= LONG_RUN:
+                    leader = {c: v[cut : cut + 1] for c, v in rows.items()}
+                    yield from long_run({c: v[cut + 1 :] for c, v in rows.items()}, leader)
+                    tail = {c: v[:0] for c, v in rows.items()}
+                else:
+                    tail = {c: v[cut:] for c, v in rows.items()}
+                yield from whole({c: v[:cut] for c, v in rows.items()})
+                rows = tail
+            held, size = [rows], len(rows["key"])
+        rows = {c: np.concatenate([h[c] for h in held]) for c in columns} if held else None
+        if rows is not None and leader is not None:
+            cut = int(np.searchsorted(rows["key"], leader["key"][0], "right"))
+            yield from long_run({c: v[:cut] for c, v in rows.items()}, leader)
+            rows = {c: v[cut:] for c, v in rows.items()}
+        if rows is not None and len(rows["key"]):
+            yield from whole(rows)
+
     return (
-        keyed.join(shared, F.col("key") == F.col("shared"))
-        .groupBy("key", F.col("m.node").alias("node"))
-        .agg(F.min("m").alias("m"), F.first("leader").alias("leader"))
-        .select("key", "m", "leader")
+        tokens.repartition("key")
+        .sortWithinPartitions("key", "doc", "line")
+        .select(*columns)
+        .mapInArrow(run, "later long, earlier long, key long")
     )
 
 
@@ -188,7 +323,8 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for part in text_steps(batch):
                 lines = Lines(part.column("text"))
-                at = np.flatnonzero(lines.fresh(met))
+                at = np.array([i for i, name in enumerate(lines.node.tolist()) if name not in met], int)
+                met.update(lines.node.tolist())
                 data = lines.data.tobytes()
                 texts = [data[a:b].decode("utf-8") for a, b in zip(lines.start[at], lines.end[at])]
                 yield pa.RecordBatch.from_arrays(
@@ -203,8 +339,11 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _matching(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(later, earlier) pairs whose verified Jaccard reaches the threshold."""
+def _matching(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(later, earlier, same): whether the Jaccard of two whole lines reaches the threshold."""
+    pairs = stored(pairs, "pairs")
+    needed = pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct()
+    texts = stored(_texts(docs, needed), "texts")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
@@ -230,39 +369,40 @@ def _matching(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc, line) of every line to remove; a NULL id is the largest long."""
     lines, counts = _nodes(docs)
-    members = stored(_members(_tokens(docs, counts, percent)), "members")
-    texts = stored(_texts(docs, members.select("m.node").distinct()), "texts")
-    first_pairs = stored(
-        _matching(
-            members.where("m.node <> leader.node")
-            .where(_filters("m", "leader", percent))
-            .select(F.col("m.node").alias("later"), F.col("leader.node").alias("earlier"))
-            .distinct(),
-            texts,
-            percent,
-        ),
-        "pairs",
-    )
-    # The place a member carries is one task's; the node's own first place decides in the end.
-    firsts = lines.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first"))
-    settled = first_pairs.where("same").select(F.col("later").alias("node")).distinct()
-    rest = (
-        members.select("key", "m", F.col("m.node").alias("node"))
-        .join(settled, "node", "left_anti")
-        .alias("x")
-        .join(
-            members.select("key", "m").alias("y"),
-            (F.col("x.key") == F.col("y.key"))
-            & (F.struct("y.m.doc", "y.m.line") < F.struct("x.m.doc", "x.m.line"))
-            & (F.col("x.m.node") != F.col("y.m.node"))
-            & _filters("x.m", "y.m", percent),
-        )
-        .select(F.col("x.m.node").alias("later"), F.col("y.m.node").alias("earlier"))
+    tokens = _tokens(docs, counts, percent)
+    candidates = stored(_candidates(tokens, percent), "candidates")
+    pairs = candidates.where("earlier is not null").select("later", "earlier").distinct()
+    first = stored(_matching(pairs, docs, percent), "pairs")
+    # The earliest place of a node in the whole corpus decides which of two lines is later.
+    firsts = stored(lines.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first")), "firsts")
+    matched = _oriented(first.where("same"), firsts)
+    # Lines with more candidates than were tried, and no match among those.
+    more = stored(
+        candidates.where("earlier is null")
+        .select(F.col("later").alias("node"), "key")
         .distinct()
-        .join(first_pairs.select("later", "earlier"), ["later", "earlier"], "left_anti")
+        .join(matched, "node", "left_anti"),
+        "more",
     )
-    matched = first_pairs.where("same").unionByName(_matching(rest, texts, percent).where("same"))
-    gone = matched.select(F.col("later").alias("node")).distinct().withColumn("gone", F.lit(True))
+    if not more.isEmpty():
+        index = stored(
+            tokens.join(more.select("key").distinct(), "key", "left_semi").join(firsts, "node"), "index"
+        )
+        x = index.join(more, ["key", "node"], "left_semi").alias("x")
+        rest = (
+            x.join(
+                index.alias("y"),
+                (F.col("x.key") == F.col("y.key"))
+                & (F.col("y.first") < F.col("x.first"))
+                & _filters("x", "y", percent),
+            )
+            .select(F.col("x.node").alias("later"), F.col("y.node").alias("earlier"))
+            .distinct()
+            .join(first.select("later", "earlier"), ["later", "earlier"], "left_anti")
+        )
+        again = stored(_matching(rest, docs, percent), "pairs").where("same")
+        matched = matched.union(_oriented(again, firsts)).distinct()
+    gone = matched.withColumn("gone", F.lit(True))
     return (
         lines.join(firsts, "node")
         .join(gone, "node", "left")
@@ -272,6 +412,22 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def _oriented(matches: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(node): of each matching pair the one whose first place is later."""
+    a = firsts.select(F.col("node").alias("later"), F.col("first").alias("first_a"))
+    b = firsts.select(F.col("node").alias("earlier"), F.col("first").alias("first_b"))
+    return (
+        matches.join(a, "later")
+        .join(b, "earlier")
+        .select(
+            F.when(F.col("first_a") > F.col("first_b"), F.col("later"))
+            .otherwise(F.col("earlier"))
+            .alias("node")
+        )
+        .distinct()
+    )
+
+
 def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per id: lines, lines removed, and the numbers of the removed lines."""
     gone = (
