@@ -7,8 +7,8 @@ positional and bitmap filters drop pairs that cannot match, Jaccard is verified
 and every line with an earlier match is removed. Earlier means a smaller (doc_id, line number),
 NULL ids last. A removed line still removes its own later matches.
 
-The bitmap filter compares 64-bit images of two token sets: their differing bits are at most
-the differing tokens.
+The bitmap filter compares 64-bit images of two token sets (a token flips one bit): their
+differing bits are at most the differing tokens.
 
 Lines with equal sets are one node, known by its first place. A line is first tried with a few
 earlier lines of each token, those nearest by bitmap, which settles tight groups of copies in
@@ -47,7 +47,7 @@ from chronolode.llm.setjoin import (
 LEAST_WORDS = 5
 PERCENT = 80
 # Earlier lines a line is tried with in each token before the others are looked at.
-NEAREST = 4
+NEAREST = 2
 # Lines of one token that are compared lag by lag, and that a task holds at most.
 SHORT_RUN = 32
 LONG_RUN = 16_384
@@ -78,8 +78,9 @@ class Lines:
         self.of, self.code = number[of[keep]], code[keep]
 
     def bitmap(self) -> np.ndarray:
+        """Bit by bit, whether an odd number of tokens falls on it; does not fill up."""
         out = np.zeros(len(self.size), np.uint64)
-        np.bitwise_or.at(out, self.of, np.uint64(1) << (self.code & np.uint64(63)))
+        np.bitwise_xor.at(out, self.of, np.uint64(1) << (self.code & np.uint64(63)))
         return out
 
     def fresh(self, met: dict[int, tuple[int, int]], doc: np.ndarray) -> np.ndarray:
