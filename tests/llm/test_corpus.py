@@ -269,6 +269,51 @@ def test_benchmark_copies_are_found_and_others_left(spark, monkeypatch):
     assert decontamination.contaminated(df.limit(0), benchmark).count() == 0
 
 
+def test_every_alignment_of_enough_score_is_found(spark):
+    """Edits that break most runs of an item, and copies of a half, against brute force."""
+    draw = random.Random(12)
+    items = [(i, " ".join(f"b{draw.randrange(300)}" for _ in range((20, 38, 59, 3, 4, 7)[i % 6]))) for i in range(18)]
+    noise = lambda n: [f"b{draw.randrange(300)}" for _ in range(n)]
+    docs = []
+    for i, (_, text) in enumerate(items):
+        words, cut = text.split(), draw.randrange(1, 4)
+        docs += [noise(9) + [w if j % 5 else "new" for j, w in enumerate(words)] + noise(9),
+                 [w if j % 3 < 2 else "new" for j, w in enumerate(words)],
+                 [x for w in words for x in (w, "new")], noise(5) + words[: len(words) // 2 + cut],
+                 words[len(words) // 2 :] + noise(60) + words[: len(words) // 2],
+                 [w for w in words if draw.random() < 0.8] + noise(2)]
+        docs += [words] if i % 2 else []
+
+    def score(a, b):
+        row = [0] * (len(b) + 1)
+        best = 0
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b, 1):
+                new.append(max(0, row[j - 1] + (2 if x == y else -1), row[j] - 1, new[-1] - 1))
+            row, best = new, max(best, *new)
+        return best / (2 * len(a))
+
+    want = {}
+    for d, words in enumerate(docs):
+        for k, text in items:
+            value = score(text.split(), words) if len(words) >= 3 else 0
+            if value >= decontamination.LEAST_SCORE:
+                want[d, k] = value
+    df = frame(spark, [(d, " ".join(words)) for d, words in enumerate(docs)])
+    found = decontamination.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == pytest.approx(want)
+    for r in found:
+        assert score(items[r.item_id][1].split(), docs[r.doc_id][r.from_word : r.to_word]) == r.score
+
+
+def test_benchmark_words_are_case_folded(spark):
+    item = "ÉTÉ À LA PLAGE MIT GROSSEN STRASSEN ΟΔΟΣ"
+    df = frame(spark, [(1, "été à la plage mit großen straßen οδος")])
+    found = decontamination.contaminated(df, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id, r.score) for r in found.collect()] == [(1, 7, 1.0)]
+
+
 EXPRESSIONS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
