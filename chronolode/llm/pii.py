@@ -4,8 +4,8 @@ Base rules find e-mail and IP addresses, payment cards and phone numbers. These
 lexical patterns: the word before, the word after, and both. Every other token with a digit
 or an at sign is a candidate. Patterns and the texts found in them form a bipartite graph, on
 which Spark scores both sides in turn: a pattern by the mean score of the texts found in it
-(damped, so rare patterns stay low), a text by the mean score of its patterns; seeds keep 1
-for their kind and 0 for others. Candidates of a kind's shape that stand in an accepted
+(damped, so rare patterns stay low), a text by the best of its accepted patterns, however many
+others it stands in; seeds keep 1 for their kind and 0 for others. Candidates of a kind's shape that stand in an accepted
 pattern and score high enough are new spans. Base spans always stay.
 
 Regular expressions start only where a run of their first class starts (or the last match
@@ -192,6 +192,10 @@ def _edges(seen: DataFrame) -> DataFrame:
     )
 
 
+def _accepted(patterns: DataFrame) -> DataFrame:
+    return patterns.where((F.col("score") >= LEAST_PATTERN) & (F.col("support") >= LEAST_SUPPORT))
+
+
 def scored_patterns(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pattern, kind, score, support) and (value, kind, score) after the last turn."""
     edges = stored(_edges(seen), "edges")
@@ -202,7 +206,6 @@ def scored_patterns(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.count(F.lit(1)).alias("support"), F.count(F.lit(1)).cast("double").alias("mass"))
     )
     unknown = edges.where("kind is null").select("pattern", "value")
-    degrees = unknown.groupBy("value").agg(F.count(F.lit(1)).alias("patterns"))
     mass, texts = seeds, None
     for _ in range(TURNS):
         patterns = stored(
@@ -212,11 +215,9 @@ def scored_patterns(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
             "patterns",
         )
         texts = stored(
-            unknown.join(patterns, "pattern")
+            unknown.join(_accepted(patterns), "pattern")
             .groupBy("value", "kind")
-            .agg(F.sum("score").alias("sum"))
-            .join(degrees, "value")
-            .select("value", "kind", (F.col("sum") / F.col("patterns")).alias("score")),
+            .agg(F.max("score").alias("score")),
             "texts",
         )
         heard = (
@@ -235,7 +236,7 @@ def find(docs: DataFrame) -> DataFrame:
     rows = stored(scanned(docs), "scanned")
     seen = rows.select("doc_id", "digest", F.explode("seen").alias("s")).select("doc_id", "digest", "s.*")
     patterns, texts = scored_patterns(seen)
-    good = patterns.where((F.col("score") >= LEAST_PATTERN) & (F.col("support") >= LEAST_SUPPORT))
+    good = _accepted(patterns)
     shape = F.lit(False)
     for kind in KINDS:
         shape = shape | ((F.col("kind") == kind) & F.col("value").rlike(SHAPES[kind]))

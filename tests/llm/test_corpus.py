@@ -371,6 +371,20 @@ def test_patterns_discover_unseen_identifiers(spark):
     )
 
 
+def test_one_sided_context_and_repeats_do_not_hide_an_identifier(spark):
+    draw = random.Random(18)
+    number = lambda: f"+1 ({draw.randrange(100, 999)}) 555-{draw.randrange(1000, 9999)}"
+    rows = [(i, f"v{i} call {number()} w{i}") for i in range(60)]
+    rows += [(100, "so call 555-123-4567 w17"), (101, "chapter 555-123-9999 follows")]
+    rows += [(200 + i, f"x{i} call 555-777-8888 y{i}") for i in range(30)]
+    rows += [(300 + i, f"x{i} 555-777-8888 z{i}") for i in range(30)]
+    found = {r.doc_id: r.spans for r in pii.find(frame(spark, rows)).collect()}
+    assert (found[100], found[101]) == ("phone:8:20", "")
+    for i in range(30):
+        assert found[200 + i] == f"phone:{len(f'x{i} call ')}:{len(f'x{i} call ') + 12}"
+        assert found[300 + i] == f"phone:{len(f'x{i} ')}:{len(f'x{i} ') + 12}"
+
+
 def test_language_model(spark):
     draw = random.Random(7)
     words = [f"w{i}" for i in range(40)]
