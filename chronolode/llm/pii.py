@@ -2,11 +2,12 @@
 
 Base rules find e-mail and IP addresses, payment cards and phone numbers. These seeds induce
 lexical patterns: the word before, the word after, and both. Every other token with a digit
-or an at sign is a candidate. Patterns and the texts found in them form a bipartite graph, on
+or an at sign is a candidate, and so is every maximal run of digits with spaces, brackets, dots,
+hyphens and slashes that as a whole has the shape of a kind; its context is outside the run. Patterns and the texts found in them form a bipartite graph, on
 which Spark scores both sides in turn: a pattern by the mean score of the texts found in it
 (damped, so rare patterns stay low), a text by the best of its accepted patterns, however many
 others it stands in; seeds keep 1 for their kind and 0 for others. Candidates of a kind's shape that stand in an accepted
-pattern and score high enough are new spans. Base spans always stay.
+pattern and score high enough are new spans, unless they lie inside a longer one. Base spans always stay.
 
 Regular expressions start only where a run of their first class starts (or the last match
 ended) and use possessive loops, so long runs cost linear time and no stack.
@@ -39,12 +40,18 @@ HINTS = {
     "phone": r"\+[0-9]",
 }
 CANDIDATE = rf"(?<![^{_S}])[^{_S}0-9@]*+[0-9@][^{_S}]*+"
+# Numbers written with spaces: whole digit groups, at most three separators between two.
+RUN = (
+    r"(?<![\p{L}0-9@_.,/-])[+(]{0,2}+[0-9]++(?![\p{L}@_])"
+    r"(?:[\x20()./-]{1,3}+[0-9]++(?![\p{L}@_]))*+"
+)
+RUN_HINT = r"[0-9](?:[\x20()./-]{0,3}[0-9]){6}"
 # Shapes a candidate needs to become a span of a kind.
 SHAPES = {
     "email": r"^[^@\s]+@[^@\s]+$",
     "ip": r"^[0-9]{1,3}(?:[.:-][0-9]{1,3}){3}$|^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}$",
-    "card": r"^[0-9](?:[-./]?[0-9]){11,18}$",
-    "phone": r"^[+(]?[0-9](?:[-./()]*[0-9]){6,14}$",
+    "card": r"^[0-9](?:[-./\x20]?[0-9]){11,18}$",
+    "phone": r"^[+(]{0,2}[0-9](?:[-./()\x20]*[0-9]){6,14}$",
 }
 # Characters of context that are searched for a neighbouring word.
 REACH = 80
@@ -134,6 +141,13 @@ def _word(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _shaped(value: Column) -> Column:
+    shape = F.lit(False)
+    for kind in KINDS:
+        shape = shape | value.rlike(SHAPES[kind])
+    return shape
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """Per row: id, text digest, base spans by kind and start, and candidates with context."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -145,6 +159,20 @@ def scanned(docs: DataFrame) -> DataFrame:
     # Candidates: tokens outside all base spans, without the punctuation around them.
     lead = lambda v: F.length(F.regexp_extract(v, r"^[^A-Za-z0-9+(]*", 0))
     core = lambda v: F.regexp_extract(v, r"^[^A-Za-z0-9+(]*(.*?)[^A-Za-z0-9]*$", 1)
+    outside = lambda s: ~F.exists(
+        F.col("base"), lambda b: (b.start < s.end) & (s.start < b.end)
+    )
+    runs = F.filter(
+        F.transform(
+            _found(F.col("text"), RUN, RUN_HINT),
+            lambda s: F.struct(
+                F.lit(len(KINDS)).alias("rank"), s.start.alias("start"), s.end.alias("end"),
+                F.lit(None).cast("string").alias("kind"), s.value.alias("value"),
+            ),
+        ),
+        lambda s: s.value.contains(" ") & _shaped(s.value) & outside(s),
+    )
+    rows = rows.withColumn("runs", runs)
     others = F.filter(
         F.transform(
             _found(F.col("text"), CANDIDATE, "[0-9@]"),
@@ -156,15 +184,20 @@ def scanned(docs: DataFrame) -> DataFrame:
                 core(s.value).alias("value"),
             ),
         ),
+        # A piece of a run stays only if it could be an identifier by itself.
         lambda s: (s.end > s.start)
-        & ~F.exists(F.col("base"), lambda b: (b.start < s.end) & (s.start < b.end)),
+        & outside(s)
+        & (
+            _shaped(s.value)
+            | ~F.exists(F.col("runs"), lambda b: (b.start < s.end) & (s.start < b.end))
+        ),
     )
     left = lambda s: F.substring(
         F.col("text"), F.greatest(s.start - REACH + 1, F.lit(1)).cast("int"), F.least(s.start, F.lit(REACH)).cast("int")
     )
     right = lambda s: F.substring(F.col("text"), (s.end + 1).cast("int"), F.lit(REACH))
     seen = F.transform(
-        F.concat("base", others),
+        F.concat("base", "runs", others),
         lambda s: F.struct(
             s.rank.alias("rank"), s.start.alias("start"), s.end.alias("end"),
             s.kind.alias("kind"), s.value.alias("value"),
@@ -262,7 +295,15 @@ def find(docs: DataFrame) -> DataFrame:
             ).alias("added")
         )
     )
-    spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(rows.schema["base"].dataType))))
+    # A new span inside a longer new one is a piece of it.
+    longest = F.filter(
+        "added",
+        lambda s: ~F.exists(
+            F.col("added"),
+            lambda b: (b.start <= s.start) & (s.end <= b.end) & (b.end - b.start > s.end - s.start),
+        ),
+    )
+    spans = F.array_sort(F.concat("base", F.coalesce(longest, F.array().cast(rows.schema["base"].dataType))))
     return rows.join(
         added,
         F.col("doc_id").eqNullSafe(F.col("a_id")) & F.col("digest").eqNullSafe(F.col("a_digest")),

@@ -385,6 +385,24 @@ def test_one_sided_context_and_repeats_do_not_hide_an_identifier(spark):
         assert found[300 + i] == f"phone:{len(f'x{i} ')}:{len(f'x{i} ') + 12}"
 
 
+def test_identifiers_with_spaces_are_discovered(spark):
+    draw = random.Random(28)
+    phone = lambda: f"+1 ({draw.randrange(100, 999)}) 555-{draw.randrange(1000, 9999)}"
+    rows = [(i, f"v{i} call {phone()} w{i}") for i in range(60)]
+    cards = [str(4 * 10**15 + draw.randrange(10**12)) for _ in range(900)]
+    cards = [c for c in cards if f"card:0:{len(c)}" in base_spans(c)]
+    rows += [(100 + i, f"v{i} card {c} w{i}") for i, c in enumerate(cards)]
+    new = ["020 7946 0958", "0171 555 1234", "(401) 555-9421", "0171/555 1234", "2019 555-123-4567"]
+    rows += [(1000 + i, f"so call {x} 5th w{i}") for i, x in enumerate(new)]
+    rows += [(1010, "so call 12 34 w9"), (1011, "page 020 7946 0958x, 555 123 4567 w9"), (1012, "1  " * 2_000)]
+    rows += [(1013, "my card 3782 822463 10005, w9"), (1014, "so call (020) 7946 0958. bye")]
+    found = {r.doc_id: r.spans for r in pii.find(frame(spark, rows)).collect()}
+    for i, x in enumerate(new):
+        assert found[1000 + i] == f"phone:8:{8 + len(x)}"
+    assert (found[1010], found[1011], found[1012]) == ("", "", "")
+    assert (found[1013], found[1014]) == ("card:8:25", "phone:8:23")
+
+
 def test_language_model(spark):
     draw = random.Random(7)
     words = [f"w{i}" for i in range(40)]
