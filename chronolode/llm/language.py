@@ -32,6 +32,8 @@ UNKNOWN = "und"
 SAMPLE = 400
 LANDMARKS = 40
 RIDGE = 1e-2
+# Characters of the longest n-grams; codes of three fit 64 bits with any alphabet.
+ORDERS = 3
 # Presence rows of one matrix product.
 ROWS = 64
 
@@ -51,7 +53,7 @@ class Model:
     langs: list[str]
     letter: np.ndarray  # code point -> letter number, 0: none of the landmarks' letters
     base: int
-    numbers: list[np.ndarray]  # n-gram code -> column, per n; -1: in no landmark
+    codes: list[np.ndarray]  # sorted n-gram codes of the landmarks, per n; columns in this order
     landmarks: np.ndarray  # columns x landmarks, float32
     norms: np.ndarray
     weights: np.ndarray | None = None
@@ -63,11 +65,15 @@ class Model:
         for i, text in enumerate(texts):
             ids = self.letter[np.minimum(_points(text), len(self.letter) - 1)]
             lettered[i] = bool(ids.any()) or any(c.isalpha() for c in set(text))
-            code = ids
-            for n, numbers in enumerate(self.numbers):
+            code, column = ids, 0
+            for n, known in enumerate(self.codes):
                 if n:
                     code = code[:-1] * self.base + ids[n:]
-                out[i, numbers[code]] = 1  # -1 is the spare last column
+                at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
+                if len(known):
+                    # N-grams of no landmark go to the spare last column.
+                    out[i, np.where(known[at] == code, column + at, -1)] = 1
+                column += len(known)
         return out[:, :-1], lettered
 
     def kernel(self, presence: np.ndarray) -> np.ndarray:
@@ -78,15 +84,11 @@ class Model:
 def _empty_model(langs: list[str], texts: list[str]) -> Model:
     """Model without weights: n-gram columns and presences of the landmark texts."""
     alphabet = sorted({ord(c) for t in texts for c in _letters(t) if ord(c) < 0x10000})
-    letter = np.zeros(0x10001, np.int32)
+    letter = np.zeros(0x10001, np.int64)
     letter[alphabet] = np.arange(1, len(alphabet) + 1)
     base = len(alphabet) + 1
     model = Model(langs, letter, base, [], np.zeros((0, 0), np.float32), np.ones(1))
-    # Alphabets beyond a few hundred letters (ideographs) would make the table of
-    # three-letter codes large; two letters carry enough there.
-    orders = 3 if base <= 300 else 2
-    columns = 0
-    for n in range(1, orders + 1):
+    for n in range(1, ORDERS + 1):
         found = set()
         for t in texts:
             ids = letter[np.minimum(_points(t), 0x10000)]
@@ -94,11 +96,8 @@ def _empty_model(langs: list[str], texts: list[str]) -> Model:
             for k in range(1, n):
                 code = code[:-1] * base + ids[k:]
             found.update(np.unique(code).tolist())
-        numbers = np.full(base**n, -1, np.int32)
-        codes = np.array(sorted(found), np.int64)
-        numbers[codes] = np.arange(columns, columns + len(codes))
-        columns += len(codes)
-        model.numbers.append(numbers)
+        model.codes.append(np.array(sorted(found), np.int64))
+    columns = sum(len(codes) for codes in model.codes)
     model.landmarks = np.zeros((columns, 0), np.float32)
     model.landmarks = model.presences(texts)[0].T.copy()
     model.norms = np.sqrt(np.maximum(model.landmarks.sum(0), 1))

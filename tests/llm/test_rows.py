@@ -107,6 +107,19 @@ def test_language_of_held_out_rows_and_of_odd_rows(spark):
     assert found[4] == found[5] and found[4][0] == "en"
 
 
+def test_large_alphabets_keep_all_orders():
+    texts = ["the and of", "an other text", "".join(chr(0x4E00 + i) for i in range(400))]
+    model = language._empty_model(["en", "zh"], texts)
+    want = {t[i : i + n] for t in texts for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    assert model.landmarks.shape == (len(want), 3)
+    presence, lettered = model.presences([*texts, "xyq", ""])
+    for row, text in zip(presence, texts):
+        assert row.sum() == len({text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)})
+    # Letters of no landmark count as spaces.
+    assert presence[3].sum() == 2 and presence[4].sum() == 0
+    assert lettered.tolist() == [True, True, True, True, False]
+
+
 def test_language_without_rows_to_learn_from(spark):
     nothing = docs_of(spark, ["a b", None])
     assert {r.lang_pred for r in language.identify(nothing).collect()} == {"und"}
