@@ -11,13 +11,16 @@ from chronolode.llm import (
     curriculum,
     decontamination,
     extraction,
+    hard_negatives,
     jaccard,
     language,
     line_dedup,
     lm,
     pii,
     quality,
+    spelling,
     token_lengths,
+    url_rules,
 )
 from chronolode.llm.common import ship, table
 from chronolode.session import configure
@@ -90,6 +93,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return url_rules.judge(table(spark, sf_dir, "pages")).select(
+        "page_id", "host", "path", "rule", "verdict", "url"
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: DuckDB has no crc32; the tests compare it with a brute-force version."""
+    prepare(spark)
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -101,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_curriculum_mix": op9_curriculum_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_url_filters": op12_url_filters,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
@@ -208,5 +232,56 @@ WITH RECURSIVE split AS (
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
        least(d.doc_id, coalesce(b, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
+""",
+    "op11_hard_negatives": r"""
+WITH kept AS (
+  SELECT DISTINCT vec_id::BIGINT AS vec_id,
+         (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::INTEGER AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), anchors AS (
+  SELECT * FROM kept WHERE vec_id % 100 = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS id,
+         coalesce(list_sum(list_transform(range(1, greatest(len(a.e), len(c.e)) + 1),
+           lambda i: coalesce(a.e[i], 0) * coalesce(c.e[i], 0))), 0)::BIGINT AS score
+  FROM anchors a, kept c
+), positives AS (
+  SELECT * FROM (
+    SELECT anchor_id, id AS positive_id, score AS positive_score,
+           row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r
+    FROM scored WHERE same AND id <> anchor_id) WHERE r <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 5
+""",
+    "op12_url_filters": r"""
+WITH rules(host, path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), urls AS (
+  SELECT page_id, url,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), judged AS (
+  SELECT u.*, (SELECT r.host || r.path FROM rules r
+               WHERE (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+               ORDER BY length(r.host) + length(r.path) DESC, r.verdict = 'block' DESC, r.host || r.path
+               LIMIT 1) AS rule
+  FROM urls u
+)
+SELECT page_id, host, path, rule,
+       coalesce((SELECT verdict FROM rules r WHERE r.host || r.path = judged.rule LIMIT 1), 'allow') AS verdict,
+       url
+FROM judged
 """,
 }
