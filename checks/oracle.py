@@ -297,6 +297,18 @@ _STATEMENTS = {
            JOIN last_wins f ON f.project = c.project AND f.sha = c.sha
            WHERE c.parent IS NOT NULL""",
     ),
+    "diff_job_published": (
+        ["commits", "stats", "last_wins"],
+        """SELECT c.project, c.sha AS commit_hash, c.pos, c.parent AS previous_commit_hash,
+                  coalesce(c.log_author, '') AS author, c.author_date AS date, c.message,
+                  s.files_added, s.files_deleted, s.lines_added AS lines_added_in_all,
+                  s.lines_deleted AS lines_deleted_in_all, s.changed,
+                  f.pos AS file_pos, f.filename, f.diff_content, f.lines_added, f.lines_deleted
+           FROM commits c
+           JOIN stats s ON s.project = c.project AND s.sha = c.sha
+           JOIN last_wins f ON f.project = c.project AND f.sha = c.sha
+           WHERE c.parent IS NOT NULL AND c.project <> ''""",
+    ),
     "file_change_rejects": (
         ["changes"],
         """SELECT project, sha, pos, count(*) AS n, reason FROM (

@@ -17,6 +17,7 @@ from chronolode.operators import membership as M
 from chronolode.operators import projects as P
 from chronolode.operators import refactorings as R
 from chronolode.session import shared_dir
+from chronolode.plans import jobs
 from chronolode.sources import readers, writers
 from chronolode.streaming import ingest_chunks, landed_commits
 
@@ -196,6 +197,25 @@ def commit_diff_records(spark, sf):
     return heads.withColumnsRenamed(totals).join(files, ["project", "commit_hash"])
 
 
+@query
+def diff_job_published(spark, sf):
+    """The diff job run in two goes over all projects, its sink read back as published.
+
+    The same rows as ``commit_diff_records`` for every named project: each go writes its
+    projects' rejects, files and commits, then their ledger entries; the reader joins the
+    two tables of the projects in the ledger.
+    """
+    out = _folder(spark, "diff-job")
+    commits, changes = t.commits(spark, sf), t.file_changes(spark, sf)
+    first = F.coalesce(F.xxhash64("project") % 2 == 0, F.lit(False))
+    for part in (first, ~first):
+        jobs.diff_results(spark, commits.where(part), changes, out)
+    schema = D.commit_heads(commits, D.named_changes(changes)).schema
+    heads, files = readers.read_commit_diffs(spark, f"{out}/commit_diffs", schema)
+    totals = {"lines_added": "lines_added_in_all", "lines_deleted": "lines_deleted_in_all"}
+    return heads.withColumnsRenamed(totals).join(files, ["project", "commit_hash"])
+
+
 @query
 def file_change_rejects(spark, sf):
     """Every tenth name blanked and some places claimed twice."""

@@ -25,6 +25,7 @@ from ..operators import membership as M
 from ..operators import projects as P
 from ..operators import refactorings as R
 from ..sources import writers as W
+from ..sources.readers import finished_projects
 from ..streaming import ingest_chunks, landed_commits
 
 log = logging.getLogger(__name__)
@@ -111,15 +112,26 @@ def refactoring_results(
 
 @_timed
 def diff_results(spark: SparkSession, commits: DataFrame, changes: DataFrame, out: str) -> None:
-    """Diff records of the projects that have none yet, and the changes that cannot be used."""
+    """Diff records of the projects not yet finished, and the changes that cannot be used.
+
+    Three sinks are written for the projects to do, each replacing only those projects'
+    folders: rejects, changed files, commits. Then the projects enter the ledger
+    ``commit_diffs/done``, also those without a changed file. A stop anywhere before the
+    ledger leaves them to do; the rerun replaces whatever part was written, so each row is
+    there once. Readers (``sources.readers.read_commit_diffs``) see only ledger projects, so
+    files and commits of a project become visible together.
+    """
     path = f"{out}/commit_diffs"
     names = commits.where("project <> ''").select("project").distinct()
-    todo = M.not_in(names, _done_projects(spark, f"{path}/commits"))
+    # Fixed before any write: the ledger this run adds to must not change what it does.
+    todo = _store(M.not_in(names, finished_projects(spark, f"{path}/done")), f"{out}/diff_todo")
     fresh = M.only_in(changes, todo)
     named = _store(D.named_changes(fresh), f"{out}/named_changes")
     heads = _store(D.commit_heads(M.only_in(commits, todo), named), f"{out}/diff_heads")
-    W.write_commit_diffs(heads, D.head_files(heads, named), path, mode="append")
-    D.file_change_rejects(fresh.drop("diff")).write.mode("append").json(f"{out}/rejected_changes")
+    W.write_diff_rejects(D.file_change_rejects(fresh.drop("diff")), f"{out}/rejected_changes")
+    W.write_commit_files(D.head_files(heads, named), path)
+    W.write_commit_heads(heads, path)
+    W.publish_done(todo, f"{path}/done", time.strftime("%Y%m%dT%H%M%S", time.gmtime()))
 
 
 @_timed

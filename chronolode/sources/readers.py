@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql.types import StructType
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -257,3 +259,33 @@ def read_issue_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 def read_issue_probe(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read_table(spark, path, schemas.ISSUE_PROBE, "json")
+
+
+def finished_projects(spark: SparkSession, ledger: str) -> DataFrame:
+    """Projects in a ledger written by ``writers.publish_done``; none before the first run."""
+    try:
+        done = spark.read.schema("project string, run string").parquet(ledger)
+        done.inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "project string")
+    return done.select("project").distinct()
+
+
+def read_commit_diffs(
+    spark: SparkSession, path: str, heads_schema: StructType | str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The diff sink as published: (commits, changed files) of the projects in its ledger.
+
+    Rows of a project whose job stopped before its ledger entry are not seen, so the two
+    tables always hold the same projects, each once.
+    """
+    done = finished_projects(spark, f"{path}/done")
+    heads = spark.read
+    if heads_schema is not None:
+        heads = heads.schema(heads_schema)
+    heads = heads.json(f"{path}/commits")
+    files = spark.read.parquet(f"{path}/files")
+    return heads.join(done, "project", "left_semi"), files.join(done, "project", "left_semi")
+

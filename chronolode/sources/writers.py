@@ -73,15 +73,41 @@ def write_refactoring_summary(summary: DataFrame, path: str, mode: str = "overwr
     _by_project(summary, mode).json(path)
 
 
+def write_commit_files(files: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Changed files with their place; overwriting replaces only the projects written."""
+    _by_project(files, mode).parquet(f"{path}/files")
+
+
+def write_commit_heads(heads: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Commits with their place and totals; overwriting replaces only the projects written."""
+    _by_project(heads, mode).json(f"{path}/commits")
+
+
 def write_commit_diffs(
     heads: DataFrame, files: DataFrame, path: str, mode: str = "overwrite"
 ) -> None:
     """Changed files with their place, then commits with theirs and their totals.
 
-    The commits come last: a project that has them is done.
+    Neither is published before the projects enter the ledger (``publish_done``).
     """
-    _by_project(files, mode).parquet(f"{path}/files")
-    _by_project(heads, mode).json(f"{path}/commits")
+    write_commit_files(files, path, mode)
+    write_commit_heads(heads, path, mode)
+
+
+def write_diff_rejects(rejects: DataFrame, path: str) -> None:
+    """Changes that cannot be used, by project; a rerun replaces a project's rejects."""
+    _by_project(rejects, "overwrite").json(path)
+
+
+def publish_done(projects: DataFrame, path: str, run: str) -> None:
+    """Add projects to the ledger of finished ones: the commit marker of a job's sinks.
+
+    One small file of names per run; a project whose sinks were all written is in it, with
+    or without result rows. Written last, so a stop before it leaves the projects to do.
+    """
+    projects.select("project").withColumn("run", F.lit(run)).coalesce(1).write.mode(
+        "append"
+    ).parquet(path)
 
 
 def write_tloc(report: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -391,6 +391,75 @@ def test_diff_job_adds_only_new_projects(spark, tmp_path, facts):
     assert run(a) == first
 
 
+DIFF_ROWS = [
+    ("p", "s1", 0, "a", "ADD", "+1"),
+    ("p", "s2", 0, "b", "MODIFY", "-1\n+é"),
+    ("p", "s2", 1, None, "MODIFY", "+1"),
+]
+
+
+def _published(spark, out):
+    heads, files = readers.read_commit_diffs(spark, f"{out}/commit_diffs")
+    return (
+        sorted((r.project, r.commit_hash, r.changed) for r in heads.collect()),
+        sorted((r.project, r.commit_hash, r.filename) for r in files.collect()),
+    )
+
+
+@pytest.mark.parametrize("stop", ["write_diff_rejects", "write_commit_files", "write_commit_heads"])
+def test_diff_job_stopped_after_any_write_then_rerun(spark, tmp_path, facts, monkeypatch, stop):
+    """A stop after any of the three writes, then a rerun: exactly one copy of each row."""
+    _, commits = facts
+    out = str(tmp_path / "out")
+    changes = spark.createDataFrame(DIFF_ROWS, schemas.FILE_CHANGES)
+    done = f"{out}/commit_diffs/done"
+    real = getattr(writers, stop)
+
+    def write_then_stop(*args, **kwargs):
+        real(*args, **kwargs)
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(writers, stop, write_then_stop)
+    with pytest.raises(RuntimeError):
+        jobs.diff_results(spark, commits, changes, out)
+    assert readers.finished_projects(spark, done).count() == 0
+    monkeypatch.undo()
+
+    jobs.diff_results(spark, commits, changes, out)
+    heads = [json.loads(t) for t in lines_of(f"{out}/commit_diffs/commits/project=p")]
+    assert sorted((h["commit_hash"], h["changed"]) for h in heads) == [("s1", 1), ("s2", 1)]
+    assert spark.read.parquet(f"{out}/commit_diffs/files").count() == 2
+    rejected = [json.loads(t) for t in lines_of(f"{out}/rejected_changes")]
+    assert [(r["sha"], r["pos"], r["reason"]) for r in rejected] == [("s2", 1, "nameless")]
+    ledger = spark.read.parquet(done).collect()
+    assert sorted(r.project for r in ledger) == ["p", "q"]
+    assert _published(spark, out) == (
+        [("p", "s1", 1), ("p", "s2", 1)],
+        [("p", "s1", "a"), ("p", "s2", "b")],
+    )
+    # Finished projects, with or without changes, are not done again.
+    jobs.diff_results(spark, commits, changes, out)
+    assert spark.read.parquet(done).count() == 2
+    assert spark.read.parquet(f"{out}/commit_diffs/files").count() == 2
+
+
+def test_unfinished_projects_are_not_published(spark, tmp_path, facts, monkeypatch):
+    _, commits = facts
+    out = str(tmp_path / "out")
+    changes = spark.createDataFrame(DIFF_ROWS, schemas.FILE_CHANGES)
+    jobs.diff_results(spark, commits.where("project = 'q'"), changes, out)
+
+    def stop(*args, **kwargs):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(writers, "publish_done", stop)
+    with pytest.raises(RuntimeError):
+        jobs.diff_results(spark, commits, changes, out)
+    # Files and commits of p are written but not in the ledger: readers do not see them.
+    assert os.path.exists(f"{out}/commit_diffs/commits/project=p")
+    assert _published(spark, out) == ([], [])
+
+
 def test_done_projects_are_read_off_the_folders(spark, tmp_path, rows):
     path = str(tmp_path / "s")
     assert rows(jobs._done_projects(spark, path)) == []
