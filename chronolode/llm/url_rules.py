@@ -71,21 +71,23 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -
         F.concat("host", "path").alias("rule"),
         (F.length("host") + F.length("path")).alias("length"),
     )
-    inner, outer = df.alias("inner"), df.alias("outer")
+    # The keys of a rule's enclosing hosts are the prefixes of its key at label ends: an
+    # equi-join with them finds its stack.
+    labels = F.reverse(F.split("host", r"\."))
+    enclosing = df.select(
+        F.col("key").alias("inner"),
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(1), F.size(labels)),
+                lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")),
+            )
+        ).alias("key"),
+    ).distinct()
     stacks = (
-        inner.join(outer, F.startswith(F.col("inner.key"), F.col("outer.key")))
-        .groupBy("inner.key")
-        .agg(
-            F.collect_set(
-                F.struct(
-                    F.col("outer.key").alias("key"),
-                    F.col("outer.path").alias("path"),
-                    F.col("outer.rule").alias("rule"),
-                    F.col("outer.length").alias("length"),
-                    F.col("outer.verdict").alias("verdict"),
-                )
-            ).alias("stack")
-        )
+        enclosing.join(df, "key")
+        .groupBy("inner")
+        .agg(F.collect_set(F.struct("key", "path", "rule", "length", "verdict")).alias("stack"))
+        .withColumnRenamed("inner", "key")
     )
     return stacks
 
