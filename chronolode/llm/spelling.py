@@ -18,8 +18,8 @@ of least total count, chosen by dynamic programming. If two words are one edit a
 destroys at most one of the other's disjoint pivots, so a pivot of one survives in the other
 at a position at most ``TAU`` away — and lies within the other's prefix when that prefix's last
 bigram is not earlier in the order; one of the two words always qualifies. So joining every
-word's pivots with every word's prefix bigrams on (bigram, position within 1, length within 1)
-finds every near pair; ``levenshtein`` verifies each candidate exactly. The join keys are the
+word's pivots with every word's prefix bigrams on (bigram, position, length), at the five
+(position, length) shifts one edit allows, finds every near pair; ``levenshtein`` verifies each candidate exactly. The join keys are the
 bigram, the position and the length, so a common bigram is split by where it stands.
 
 Defined cases: NULL or empty texts and texts without letters give no run. Repeated documents
@@ -121,7 +121,8 @@ def _grams(vocabulary: DataFrame) -> DataFrame:
 
 
 def candidates(vocabulary: DataFrame) -> DataFrame:
-    """Unordered word pairs (a < b) that share a pivot of one with the prefix of the other."""
+    """Word pairs (a < b, repeats possible) where a pivot of one lies in the prefix of the other,
+    whose last prefix bigram is not earlier in the order."""
     grams = _grams(vocabulary)
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("count"))
     ranked = grams.join(counts, "gram").withColumn(
@@ -132,35 +133,45 @@ def candidates(vocabulary: DataFrame) -> DataFrame:
         ranked.where(F.col("place") <= Q * TAU + 1).select("word", "size", "pos", "gram", "count"),
         "spelling-prefix",
     )
+    # Order key of each word's last prefix bigram: the lemma needs a pivot of one word in the
+    # prefix of a word whose last prefix bigram is not earlier.
+    last = prefix.groupBy("word").agg(F.max(F.struct("count", "gram")).alias("last"))
     pivots = prefix.groupBy("word", "size").agg(
         F.collect_list(F.struct("pos", "count", "gram")).alias("prefix")
     ).mapInPandas(_pivots, "word string, size int, gram string, pos int")
+    # Where a pivot of a can stand in b: one replaced code point keeps the length and the
+    # position; one inserted (deleted) code point adds (takes) one to the length and moves what
+    # follows it one place on (back). So (position, length) changes by (0, 0), (0, +1), (+1, +1),
+    # (0, -1) or (-1, -1): five probes, not nine.
+    shifts = [(0, 0), (0, 1), (1, 1), (0, -1), (-1, -1)]
     near = F.explode(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(-TAU), F.lit(TAU)),
-                lambda dp: F.transform(
-                    F.sequence(F.lit(-TAU), F.lit(TAU)),
-                    lambda dl: F.struct((F.col("pos") + dp).alias("pos"), (F.col("size") + dl).alias("size")),
-                ),
+        F.array(
+            *(
+                F.struct((F.col("pos") + dp).alias("pos"), (F.col("size") + dl).alias("size"))
+                for dp, dl in shifts
             )
         )
     )
-    probes = pivots.select(F.col("word").alias("a"), "gram", near.alias("at")).select(
-        "a", "gram", F.col("at.pos").alias("pos"), F.col("at.size").alias("size")
+    probes = (
+        pivots.join(last, "word")
+        .select(F.col("word").alias("a"), F.col("last").alias("a_last"), "gram", near.alias("at"))
+        .select("a", "a_last", "gram", F.col("at.pos").alias("pos"), F.col("at.size").alias("size"))
     )
-    found = probes.join(prefix.select(F.col("word").alias("b"), "gram", "pos", "size"), ["gram", "pos", "size"])
+    indexed = prefix.join(last, "word").select(
+        F.col("word").alias("b"), F.col("last").alias("b_last"), "gram", "pos", "size"
+    )
+    found = probes.join(indexed, ["gram", "pos", "size"])
     return (
-        found.where(F.col("a") != F.col("b"))
+        found.where((F.col("a") != F.col("b")) & (F.col("b_last") >= F.col("a_last")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
     )
 
 
 def variants(documents: DataFrame) -> DataFrame:
     """word, form, root (strings), n, n_near, form_n (longs): see the module's docstring."""
     vocabulary = stored(words(documents), "spelling-words")
-    pairs = candidates(vocabulary).where(F.levenshtein("a", "b", TAU) == 1)
+    # Verified before the pairs are made distinct: only near pairs reach the shuffle.
+    pairs = candidates(vocabulary).where(F.levenshtein("a", "b", TAU) == 1).distinct()
     pairs = stored(pairs, "spelling-pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).unionByName(
         pairs.select(F.col("b").alias("word"), F.col("a").alias("other"))
