@@ -53,7 +53,8 @@ def words(documents: DataFrame) -> DataFrame:
         F.col("doc_id"),
         F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RUN), 0)).alias("run"),
     )
-    low = runs.select(
+    # A typo only takes a code point away: shorter runs can never become words.
+    low = runs.where(F.length("run") >= LEAST_LENGTH).select(
         "doc_id", F.translate("run", UPPER, LOWER).alias("low_")
     ).withColumn(
         "h",
