@@ -32,7 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolode.llm.common import LOWER, UPPER, stored
@@ -162,9 +162,22 @@ def candidates(vocabulary: DataFrame) -> DataFrame:
         F.col("word").alias("b"), F.col("last").alias("b_last"), "gram", "pos", "size"
     )
     found = probes.join(indexed, ["gram", "pos", "size"])
-    return (
-        found.where((F.col("a") != F.col("b")) & (F.col("b_last") >= F.col("a_last")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Equal last keys: the lemma holds both ways, and one way (the smaller word probing) is enough.
+    direction = (F.col("b_last") > F.col("a_last")) | (
+        (F.col("b_last") == F.col("a_last")) & (F.col("a") < F.col("b"))
+    )
+    return found.where(direction).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    )
+
+
+def one_edit_halves(a: str = "a", b: str = "b") -> Column:
+    """Necessary for one edit: with L the shorter length and h = L div 2, the first h code points
+    agree or the last L - h do (the edit lies in the other half). Cheaper than ``levenshtein``."""
+    shorter = f"least(length({a}), length({b}))"
+    h, rest = f"({shorter} div 2)", f"({shorter} - {shorter} div 2)"
+    return F.expr(
+        f"left({a}, {h}) = left({b}, {h}) OR right({a}, {rest}) = right({b}, {rest})"
     )
 
 
@@ -172,7 +185,8 @@ def variants(documents: DataFrame) -> DataFrame:
     """word, form, root (strings), n, n_near, form_n (longs): see the module's docstring."""
     vocabulary = stored(words(documents), "spelling-words")
     # Verified before the pairs are made distinct: only near pairs reach the shuffle.
-    pairs = candidates(vocabulary).where(F.levenshtein("a", "b", TAU) == 1).distinct()
+    pairs = candidates(vocabulary).where(one_edit_halves() & (F.levenshtein("a", "b", TAU) == 1))
+    pairs = pairs.distinct()
     pairs = stored(pairs, "spelling-pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).unionByName(
         pairs.select(F.col("b").alias("word"), F.col("a").alias("other"))
