@@ -26,7 +26,8 @@ Defined cases: rows repeated whole count once. Two different rows with one ``vec
 part and stay apart (neither is the other's positive when one is an anchor); ties between
 them follow a hash of the whole row. Vectors of different lengths are zero-padded to the longer;
 an empty vector scores 0. An anchor without positives gives no row; a positive without
-negatives gives no row. An empty table gives no row. Extra columns are ignored. A score
+negatives gives no row. A row without an id is no anchor and no positive; as a negative it comes
+last of its ties, with a NULL id. An empty table gives no row. Extra columns are ignored. A score
 outside the long range raises an error, as the same sum in SQL would.
 """
 
@@ -36,7 +37,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolode.llm.common import stored
@@ -50,8 +51,8 @@ ANCHOR_TILE = 512
 CANDIDATE_TILE = 4096
 # Below this size (of the smallest side) Strassen's recursion stops.
 LEAF = 32
-
-ROW = "vec_id long, label int, key long, vec array<double>"
+# Stands for a missing id inside the tiles; last of its ties.
+NO_ID = (1 << 63) - 1
 
 
 def strassen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,21 +123,29 @@ def scores(anchors: pd.Series, candidates: pd.Series) -> np.ndarray:
 def _first(values: np.ndarray, ids: np.ndarray, keys: np.ndarray, mask: np.ndarray, k: int):
     """Indexes of the first ``k`` columns allowed by ``mask``: higher value, then smaller id, key."""
     at = np.flatnonzero(mask)
+    # The complement falls as a value rises and, unlike the negative, exists for every long.
+    falling = ~values[at]
     if len(at) > k:
         # Keep every column that ties the k-th value, then order exactly.
-        kth = np.partition(-values[at], k - 1)[k - 1]
-        at = at[-values[at] <= kth]
-    order = np.lexsort((keys[at], ids[at], -values[at]))
+        near = falling <= np.partition(falling, k - 1)[k - 1]
+        at, falling = at[near], falling[near]
+    order = np.lexsort((keys[at], ids[at], falling))
     return at[order[:k]]
 
 
+def window(positive_score: int) -> tuple[int, int]:
+    """Least and greatest score of a negative, in whole numbers: 100 * s may leave int64."""
+    p = int(positive_score)
+    return -(-LOW * p // 100), HIGH * p // 100
+
+
 def positives_in_tile(anchors: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
     """Per anchor of the tile, its best rows of the same label among the tile's candidates."""
     s = scores(anchors["vec"], candidates["vec"])
-    ids, keys, labels = (candidates[c].to_numpy() for c in ("vec_id", "key", "label"))
+    ids, keys, labels, named = (candidates[c].to_numpy() for c in ("vec_id", "key", "label", "named"))
     out = []
     for i, (aid, akey, alabel) in enumerate(anchors[["vec_id", "key", "label"]].itertuples(index=False)):
-        mask = (labels == alabel) & (ids != aid)
+        mask = (labels == alabel) & (ids != aid) & named
         for j in _first(s[i], ids, keys, mask, POSITIVES):
             out.append((aid, akey, int(ids[j]), int(keys[j]), int(s[i, j])))
     return pd.DataFrame(
@@ -147,60 +156,77 @@ def positives_in_tile(anchors: pd.DataFrame, candidates: pd.DataFrame) -> pd.Dat
 def negatives_in_tile(anchors: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
     """Per anchor and positive of the tile, its best rows of another label in the window."""
     s = scores(anchors["vec"], candidates["vec"])
-    ids, keys, labels = (candidates[c].to_numpy() for c in ("vec_id", "key", "label"))
+    ids, keys, labels, named = (candidates[c].to_numpy() for c in ("vec_id", "key", "label", "named"))
     out = []
     for i, row in enumerate(anchors.itertuples(index=False)):
         other = labels != row.label
         for pid, pkey, p in zip(row.positive_ids, row.positive_keys, row.positive_scores):
-            mask = other & (LOW * p <= 100 * s[i]) & (100 * s[i] <= HIGH * p)
+            low, high = window(p)
+            # Of a negative score nothing lies in the window; low could leave int64 only there.
+            mask = other & (s[i] >= low) & (s[i] <= high) if p >= 0 else np.zeros(len(other), bool)
             for j in _first(s[i], ids, keys, mask, NEGATIVES):
                 out.append(
-                    (row.vec_id, row.key, int(pid), int(pkey), int(p), int(ids[j]), int(keys[j]), int(s[i, j]))
+                    (row.vec_id, row.key, int(pid), int(pkey), int(p), int(ids[j]) if named[j] else None,
+                     int(keys[j]), int(s[i, j]))
                 )
+    # Objects: a missing id must not turn the other ids into doubles.
     return pd.DataFrame(
         out,
         columns=[
             "anchor_id", "anchor_key", "positive_id", "positive_key", "positive_score",
             "negative_id", "negative_key", "negative_score",
         ],
+        dtype=object,
     )
 
 
 def rows_of(embeddings: DataFrame) -> DataFrame:
     """Rows that take part, once each: vec_id, label (shifted where the id is divisible by 7),
-    key (a hash of the whole row: tiles and the last tie-break) and the vector as doubles."""
+    key (a hash of the whole row: tiles and the last tie-break) and the vector as doubles,
+    cut down to whole 256ths, which its score is made of. Without an id: not ``named``, last."""
     valid = F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     )
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+
+    def floored(x: Column) -> Column:
+        y = 256 * x.cast("double")
+        # A double of 2^53 or more is whole, and might not fit the long that floor gives.
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y) / 256
+
     return (
         embeddings.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & valid)
         .select(
-            F.col("vec_id").cast("long").alias("vec_id"),
+            F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"),
+            F.col("vec_id").isNotNull().alias("named"),
             label.cast("int").alias("label"),
-            F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
+            F.transform("embedding", floored).alias("vec"),
         )
-        .dropDuplicates(["vec_id", "label", "vec"])
-        .withColumn("key", F.xxhash64("vec_id", "label", "vec"))
-        .select("vec_id", "label", "key", "vec")
+        .dropDuplicates(["vec_id", "named", "label", "vec"])
+        .withColumn("key", F.xxhash64("vec_id", "named", "label", "vec"))
+        .select("vec_id", "named", "label", "key", "vec")
     )
 
 
 def _tiled(rows: DataFrame, anchors: DataFrame, n_rows: int, n_anchors: int):
-    """Anchors and candidates keyed by (anchor tile, candidate tile), each pair of tiles once."""
+    """Anchors and candidates keyed by (anchor tile, candidate tile), each pair of tiles once.
+
+    Both sides have int keys: a long and an int of one value hash to different partitions, and
+    the two sides of a tile would never meet.
+    """
     across = max(1, -(-n_anchors // ANCHOR_TILE))
     down = max(1, -(-n_rows // CANDIDATE_TILE))
-    a = anchors.withColumn("at", F.pmod("key", F.lit(across))).withColumn(
+    a = anchors.withColumn("at", F.pmod("key", F.lit(across)).cast("int")).withColumn(
         "ct", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))
     )
-    c = rows.withColumn("ct", F.pmod(F.xxhash64("key"), F.lit(down))).withColumn(
+    c = rows.withColumn("ct", F.pmod(F.xxhash64("key"), F.lit(down)).cast("int")).withColumn(
         "at", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))
     )
     return a, c
 
 
 def _best(df: DataFrame, over: list[str], k: int, score: str, vid: str, key: str) -> DataFrame:
-    w = Window.partitionBy(*over).orderBy(F.desc(score), F.asc(vid), F.asc(key))
+    w = Window.partitionBy(*over).orderBy(F.desc(score), F.asc_nulls_last(vid), F.asc(key))
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -61,6 +61,46 @@ def test_hard_negatives_small_tiles(spark, monkeypatch):
     assert got == sorted(hard_negatives.brute_force([(i, l, v) for i, v, l in rows]))
 
 
+def test_hard_negatives_tiles_meet_in_every_partitioning(spark, monkeypatch):
+    # Partitions that are not merged: both sides of a tile must hash alike.
+    monkeypatch.setattr(hard_negatives, "ANCHOR_TILE", 2)
+    monkeypatch.setattr(hard_negatives, "CANDIDATE_TILE", 40)
+    rows = _vectors(320, 5, 7)
+    df = spark.createDataFrame([(i, v, l, "x", "y") for i, v, l in rows], EMB)
+    merge, parts = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(merge), spark.conf.get(parts)
+    spark.conf.set(merge, "false")
+    spark.conf.set(parts, "23")
+    try:
+        got = sorted(tuple(r) for r in hard_negatives.mine(df).collect())
+    finally:
+        spark.conf.set(merge, before[0])
+        spark.conf.set(parts, before[1])
+    want = sorted(hard_negatives.brute_force([(i, l, v) for i, v, l in rows]))
+    assert got == want and want
+
+
+def test_hard_negatives_window_of_large_scores(spark):
+    # Scores fit a long, 100 times a score does not.
+    rng = random.Random(1)
+    rows = [(i, [rng.randrange(1, 10) * 3e5 for _ in range(16)], rng.randrange(2)) for i in range(400)]
+    df = spark.createDataFrame([(i, v, l, "x", "y") for i, v, l in rows], EMB)
+    got = sorted(tuple(r) for r in hard_negatives.mine(df).collect())
+    assert max(r[4] for r in got) > 2**63 // 100
+    assert got == sorted(hard_negatives.brute_force([(i, l, v) for i, v, l in rows]))
+
+
+def test_hard_negatives_without_ids_and_equal_floors(spark):
+    rows = [(100, [0.5, 0.5], 1), (None, [0.5, 0.5], 1), (101, [0.5, 0.5], 1), (2**60 + 1, [0.5, 0.45], 2),
+            (None, [0.5, 0.5], 2), (102, [0.5, 0.5], 2), (102, [0.5, 0.5 + 1 / 1024], 2)]
+    df = spark.createDataFrame([(i, v, l, "x", "y") for i, v, l in rows], EMB)
+    got = sorted((tuple(r) for r in hard_negatives.mine(df).collect()), key=lambda r: r[2])
+    top = 2 * 128 * 128
+    # 102 is one row: its two vectors have the same floors.
+    assert got == [(100, 101, 1, 102, top, top), (100, 101, 2, None, top, top),
+                   (100, 101, 3, 2**60 + 1, top, 128 * 128 + 128 * 115)]
+
+
 def test_hard_negatives_empty_table(spark):
     df = spark.createDataFrame([], EMB)
     assert hard_negatives.mine(df).count() == 0
