@@ -229,11 +229,12 @@ def read_listing(
     elements that do not parse as a commit or have no ``sha1``, with file, offset and text.
     """
     from .. import schemas
+    from .readers import folder
 
     raw = read_elements(spark, path, 2, split)
     parsed = raw.withColumn(
         "commit", F.from_json("element", schemas.LISTED_COMMIT, {"mode": "PERMISSIVE"})
-    ).withColumn("project", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
+    ).withColumn("project", folder(F.col("file")))
     # An element that parses but names no commit is a reject too.
     ok = F.coalesce(F.col("commit.sha1").isNotNull(), F.lit(False))
     commits = parsed.where(ok).select("project", "file", "offset", "commit.*")

@@ -144,16 +144,18 @@ def glob_free(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}^])", r"\\\1", path)
 
 
-def _folder(path: Column) -> Column:
-    return F.regexp_extract(path, "([^/]+)/[^/]+$", 1)
+# These run for every record of a file. A pattern anchored at the end of a whole path is tried
+# from each of its characters, so the path is cut at its slashes first.
+def folder(path: Column) -> Column:
+    return F.substring_index(F.substring_index(path, "/", -2), "/", 1)
 
 
-def _stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+?)(\.[^./]+)?$", 1)
+def stem(path: Column) -> Column:
+    return F.regexp_extract(F.substring_index(path, "/", -1), r"([^/]+?)(\.[^./]+)?$", 1)
 
 
 def tag_chunks(raw: DataFrame) -> DataFrame:
-    project = F.regexp_replace(_folder(F.col("file")), "^project=", "")
+    project = F.regexp_replace(folder(F.col("file")), "^project=", "")
     modified = F.col("_metadata.file_modification_time")
     return raw.withColumns({"file": decoded_path(), "modified": modified}).withColumn("project", project)
 
@@ -214,8 +216,8 @@ def read_loc_reports(
         .text(path, wholetext=True)
         .select(decoded_path().alias("file"), body.alias("body"))
         .select(
-            _folder(F.col("file")).alias("project"),
-            _stem(F.col("file")).alias("sha"),
+            folder(F.col("file")).alias("project"),
+            stem(F.col("file")).alias("sha"),
             F.when(F.col("body").isNull(), TOOL_FAILED).otherwise(OK).alias("status"),
             F.explode_outer("body").alias("row"),
         )

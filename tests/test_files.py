@@ -102,6 +102,20 @@ def test_ingest_reads_each_file_once(spark, tmp_path, rows):
     ]
 
 
+def test_paths_are_cut_without_a_pattern_over_the_whole_path(spark, rows):
+    paths = ["file:/a/p0/x.json", "file:/a/project=p 1/.hidden", "s3://b/p/x.tar.gz", "/p/x", "/a//b", "/x.", "/p/a\nb.c"]
+    df = spark.createDataFrame([(p,) for p in paths], "file string")
+    path = F.col("file")
+    found = df.select(
+        "file",
+        readers.folder(path) == F.regexp_extract(path, "([^/]+)/[^/]+$", 1),
+        readers.stem(path) == F.regexp_extract(path, r"([^/]+?)(\.[^./]+)?$", 1),
+    )
+    assert [p for p, *same in found.collect() if not all(same)] == []
+    # Tried for every record, a pattern without an anchor at its front took most of the ingest.
+    assert "regexp_extract" not in df.select(readers.folder(path))._jdf.queryExecution().toString()
+
+
 def test_a_replayed_batch_replaces_its_first_attempt(spark, tmp_path, rows):
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
     put(source, "p/chunk_1.json", chunk("s1"))
