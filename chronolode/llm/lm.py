@@ -40,7 +40,8 @@ from chronolode.llm.common import fold, stored, text_steps, with_fields
 
 FOLDS = 10
 HELD_OUT, DELETED = 0, 1
-BLOCK_BYTES = 1 << 22
+# Text of one block; a task holds the tokens, n-grams and answers of one block at a time.
+BLOCK_BYTES = 1 << 21
 BUCKETS = 24
 # Steps per octave in which EM sees probabilities.
 STEPS = 8
@@ -249,9 +250,12 @@ def _parts_of(counts: Counts, totals: tuple[int, int]) -> tuple[np.ndarray, np.n
 
 
 def _with_answers(
-    docs: DataFrame, answers: DataFrame, step, schema, only_deleted: bool = False
+    docs: DataFrame, answers: DataFrame, which: str, step, schema, only_deleted: bool = False
 ) -> DataFrame:
-    """Apply ``step(rows, answers)`` to every block, or to those of the deleted fold."""
+    """Apply ``step(rows, answers)`` to every block, or to those of the deleted fold.
+
+    Of the two counts of an answer only ``which`` travels.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches):
@@ -260,7 +264,9 @@ def _with_answers(
             rows = rows.append_column("place", pa.array(np.arange(n), pa.int64()))
             yield from rows.select(["block", "place", "doc_id", "fold", "text"]).to_batches()
 
-    source, found = _source(docs), answers.where("block >= 0")
+    source, found = _source(docs), answers.where("block >= 0").select(
+        "block", "part", "grams", which
+    )
     if only_deleted:
         source = source.where(F.col("fold") == DELETED)
         found = found.where(F.col("block") % 2 == 1)
@@ -301,7 +307,7 @@ def _held_out_cells(docs: DataFrame, answers: DataFrame, model: Model) -> list:
         )
 
     schema = "bucket int, pair int, word int, n long"
-    found = _with_answers(docs, answers, cells, schema, only_deleted=True)
+    found = _with_answers(docs, answers, "base", cells, schema, only_deleted=True)
     return found.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()
 
 
@@ -377,4 +383,4 @@ def score(docs: DataFrame) -> DataFrame:
             names=schema.names,
         )
 
-    return _with_answers(docs, answers, scores, schema)
+    return _with_answers(docs, answers, "train", scores, schema)

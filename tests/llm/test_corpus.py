@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronolode.llm import curriculum, decontamination, jaccard, line_dedup, lm, pii, setjoin
@@ -429,6 +430,19 @@ def test_language_model(spark):
     assert lm.score(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_a_block_meets_only_the_counts_it_needs(spark):
+    docs = frame(spark, [(i, f"a b c {i}") for i in range(40)])
+    answers = lm._answers(lm._packets(docs, 4))
+
+    def names(rows, found):
+        return pa.table({"names": [",".join(found.column_names)]})
+
+    got = lm._with_answers(docs, answers, "train", names, "names string").distinct().collect()
+    assert [r.names for r in got] == ["block,part,grams,train"]
+    # Two blocks (one of the deleted fold) of a batch of texts that filled one block before.
+    assert lm.BLOCK_BYTES <= 1 << 21
+
+
 def test_model_scores_are_the_interpolated_probabilities(spark, monkeypatch):
     """With known weights, scores follow from counts; probabilities of a context sum to one."""
     draw = random.Random(3)
