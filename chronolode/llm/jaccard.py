@@ -39,13 +39,15 @@ from chronolode.llm.common import WORD, map_arrow, stored, text_steps, with_fiel
 from chronolode.llm.setjoin import (
     COUNTER_BITS,
     counter_of,
-    counter_table,
     emit_counts,
     int64,
     labels_of,
+    may_hold,
     may_match,
     overlap,
     prefixes,
+    rarity,
+    seen,
     set_ids,
 )
 
@@ -72,7 +74,7 @@ def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, node) of all rows, and the shingle counters of the corpus."""
+    """(doc_id, n_shingles, node) of all rows, and the rarity ranks of the corpus' shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
@@ -99,11 +101,11 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     schema = with_fields(docs, ["doc_id"], "n_shingles long, node long, counter int, n long")
     both = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "nodes")
-    counts = counter_table(both.where("counter is not null"))
-    return both.where("counter is null").select("doc_id", "n_shingles", "node"), counts
+    ranks = rarity(both.where("counter is not null"))
+    return both.where("counter is null").select("doc_id", "n_shingles", "node"), ranks
 
 
-def _regions(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+def _regions(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
     """(key, node, size, left): nodes replicated to the regions of their window.
 
     A task sends a node that it meets again only once.
@@ -120,9 +122,11 @@ def _regions(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                     if size[i] and name not in met:
                         met.add(name)
                         fresh[i] = True
-                row, code, place = prefixes(row, code, counts, size, percent)
                 keep = fresh[row]
-                row, code, place = row[keep], code[keep], place[keep]
+                number = np.flatnonzero(fresh)
+                at = np.cumsum(fresh) - 1
+                row, code, place = prefixes(at[row[keep]], code[keep], ranks, size[fresh], percent)
+                row = number[row]
                 yield pa.RecordBatch.from_arrays(
                     [int64(code), int64(node[row]), pa.array(size[row].astype(np.int32)),
                      pa.array((size[row] - place).astype(np.int32))],
@@ -210,7 +214,8 @@ def _members(regions: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text), one text for each of the given nodes."""
+    """(node, text), one text for each of the given nodes; most others stay in their task."""
+    bits = may_hold(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -218,8 +223,9 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for part in text_steps(batch):
                 size, node = set_ids(*shingle_sets(part.column("text")), part.num_rows)
                 fresh = []
-                for i, name in enumerate(node.tolist()):
-                    if size[i] and name not in met:
+                for i in np.flatnonzero((size > 0) & seen(node, bits)).tolist():
+                    name = int(node[i])
+                    if name not in met:
                         met.add(name)
                         fresh.append(i)
                 at = pa.array(fresh, pa.int64())
@@ -261,9 +267,9 @@ def _ordered(one: str, two: str) -> list:
     return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
-def links_of(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def links_of(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """(a, b): verified links that connect every two nodes that matching pairs connect."""
-    members = stored(_members(_regions(docs, counts, percent)), "members")
+    members = stored(_members(_regions(docs, ranks, percent)), "members")
     degrees = members.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     texts = stored(_texts(docs, degrees.select("node")), "texts")
     linked = F.col("both") * 100 >= percent * F.col("either")
@@ -369,8 +375,8 @@ def links_of(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> Dat
 
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, node), and (node, label, least) of every node."""
-    rows, counts = _nodes(docs)
-    labels = labels_of(links_of(docs, counts, percent))
+    rows, ranks = _nodes(docs)
+    labels = labels_of(links_of(docs, ranks, percent))
     nodes = (
         rows.where("node is not null")
         .groupBy("node")

@@ -7,8 +7,8 @@ positional and bitmap filters drop pairs that cannot match, Jaccard is verified
 and every line with an earlier match is removed. Earlier means a smaller (doc_id, line number),
 NULL ids last. A removed line still removes its own later matches.
 
-The bitmap filter compares 64-bit images of two token sets (a token flips one bit): their
-differing bits are at most the differing tokens.
+The bitmap filter compares 128-bit images of two token sets (a token flips one bit): their
+differing bits are at most the differing tokens. 64 bits let most pairs of long lines pass.
 
 Lines with equal sets are one node, known by its first place. A line is first tried with a few
 earlier lines of each token, those nearest by bitmap, which settles tight groups of copies in
@@ -35,12 +35,14 @@ from chronolode.llm.common import map_arrow, stored, text_steps
 from chronolode.llm.setjoin import (
     COUNTER_BITS,
     counter_of,
-    counter_table,
     emit_counts,
     int64,
+    may_hold,
     may_match,
     overlap,
     prefixes,
+    rarity,
+    seen,
     set_ids,
 )
 
@@ -53,6 +55,7 @@ SHORT_RUN = 32
 LONG_RUN = 16_384
 ROWS_AT_ONCE = 128
 FAR = 1 << 20
+BITS = ("bits", "bits2")
 LAST = (1 << 63) - 1  # place of a NULL id
 
 
@@ -78,9 +81,15 @@ class Lines:
         self.of, self.code = number[of[keep]], code[keep]
 
     def bitmap(self) -> np.ndarray:
-        """Bit by bit, whether an odd number of tokens falls on it; does not fill up."""
-        out = np.zeros(len(self.size), np.uint64)
-        np.bitwise_xor.at(out, self.of, np.uint64(1) << (self.code & np.uint64(63)))
+        """Bit by bit, whether an odd number of tokens falls on it; does not fill up.
+
+        Two columns of 64 bits.
+        """
+        out = np.zeros((len(self.size), 2), np.uint64)
+        half = (self.code >> np.uint64(6) & np.uint64(1)).astype(np.int64)
+        np.bitwise_xor.at(
+            out.reshape(-1), 2 * self.of + half, np.uint64(1) << (self.code & np.uint64(63))
+        )
         return out
 
     def fresh(self, met: dict[int, tuple[int, int]], doc: np.ndarray) -> np.ndarray:
@@ -102,7 +111,7 @@ def _place(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc, line, node) of all lines, and the token counters of all lines."""
+    """(doc, line, node) of all lines, and the rarity ranks of their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
@@ -127,12 +136,12 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     both = stored(
         _place(docs).mapInArrow(run, "doc long, line int, node long, counter int, n long"), "lines"
     )
-    counts = counter_table(both.where("counter is not null"))
-    return both.where("counter is null").select("doc", "line", "node"), counts
+    ranks = rarity(both.where("counter is not null"))
+    return both.where("counter is null").select("doc", "line", "node"), ranks
 
 
-def _tokens(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(key, node, size, left, bits, doc, line): prefix tokens of each node a task sees first."""
+def _tokens(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
+    """(key, node, size, left, bits, bits2, doc, line): prefix tokens of each node a task sees first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[int, tuple[int, int]] = {}
@@ -140,30 +149,41 @@ def _tokens(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
             for part in text_steps(batch):
                 lines = Lines(part.column("text"))
                 docs_of = part.column("doc").to_numpy()
-                fresh, bits = lines.fresh(met, docs_of), lines.bitmap()
+                fresh = lines.fresh(met, docs_of)
+                bits = lines.bitmap()[fresh]
                 keep = fresh[lines.of]
                 number = np.cumsum(fresh) - 1
                 size = lines.size[fresh]
                 of, code, place = prefixes(
-                    number[lines.of[keep]], lines.code[keep], counts, size, percent
+                    number[lines.of[keep]], lines.code[keep], ranks, size, percent
                 )
                 doc = part.column("doc").take(pa.array(lines.row[fresh][of]))
                 yield pa.RecordBatch.from_arrays(
                     [int64(code), int64(lines.node[fresh][of]), pa.array(size[of].astype(np.int32)),
-                     pa.array((size[of] - place).astype(np.int32)), int64(bits[fresh][of]), doc,
-                     pa.array(lines.number[fresh][of].astype(np.int32))],
-                    names=["key", "node", "size", "left", "bits", "doc", "line"],
+                     pa.array((size[of] - place).astype(np.int32)),
+                     int64(np.ascontiguousarray(bits[of, 0])), int64(np.ascontiguousarray(bits[of, 1])),
+                     doc, pa.array(lines.number[fresh][of].astype(np.int32))],
+                    names=["key", "node", "size", "left", "bits", "bits2", "doc", "line"],
                 )
 
     return _place(docs).mapInArrow(
-        run, "key long, node long, size int, left int, bits long, doc long, line int"
+        run, "key long, node long, size int, left int, bits long, bits2 long, doc long, line int"
     )
 
 
+def _distance(a: dict, b: dict) -> np.ndarray:
+    """Differing bits of row pairs (arrays that broadcast), over all columns of bits given."""
+    out = 0
+    for c in BITS:
+        if c in a:
+            out = out + np.bitwise_count((a[c] ^ b[c]).view(np.uint64)).astype(np.int64)
+    return out
+
+
 def _passes(a: dict, b: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which row pairs (arrays that broadcast) pass all filters, and their bit distances."""
     m, n = a["size"], b["size"]
-    distance = np.bitwise_count((a["bits"] ^ b["bits"]).view(np.uint64)).astype(np.int64)
+    distance = _distance(a, b)
     both = m + n
     good = (
         (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
@@ -234,7 +254,7 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
     so. Of a token with more than ``LONG_RUN`` lines none is held: each of its lines is
     paired with the earliest, and all but that one are said to have more.
     """
-    columns = ["key", "node", "size", "left", "bits"]
+    columns = ["key", "node", "size", "left", *BITS]
     out = ["later", "earlier", "key"]
 
     def emit(later, earlier, key) -> pa.RecordBatch:
@@ -257,7 +277,7 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
     def long_run(rows: dict[str, np.ndarray], leader: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         x = rows["node"] != leader["node"][0]
         node, m, n = rows["node"][x], rows["size"][x], int(leader["size"][0])
-        distance = np.bitwise_count((rows["bits"][x] ^ leader["bits"][0]).view(np.uint64)).astype(np.int64)
+        distance = _distance({c: rows[c][x] for c in BITS}, leader)
         near = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (
             (100 + percent) * distance <= (100 - percent) * (m + n)
         )
@@ -310,22 +330,25 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
 def _filters(x: str, y: str, percent: int):
     """Length, positional and bitmap filters of two members."""
     size_x, size_y = F.col(f"{x}.size"), F.col(f"{y}.size")
-    differ = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
+    differ = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in BITS)
     return may_match(size_x, F.col(f"{x}.left"), size_y, F.col(f"{y}.left"), percent) & (
         (100 + percent) * differ <= (100 - percent) * (size_x + size_y)
     )
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text): one line of each of the given nodes."""
+    """(node, text): one line of each of the given nodes; most others stay in their task."""
+    bits = may_hold(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
             for part in text_steps(batch):
                 lines = Lines(part.column("text"))
-                at = np.array([i for i, name in enumerate(lines.node.tolist()) if name not in met], int)
-                met.update(lines.node.tolist())
+                maybe = np.flatnonzero(seen(lines.node, bits))
+                names = lines.node[maybe].tolist()
+                at = maybe[np.array([name not in met for name in names], bool)]
+                met.update(names)
                 data = lines.data.tobytes()
                 texts = [data[a:b].decode("utf-8") for a, b in zip(lines.start[at], lines.end[at])]
                 yield pa.RecordBatch.from_arrays(
@@ -343,7 +366,10 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _matching(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(later, earlier, same): whether the Jaccard of two whole lines reaches the threshold."""
     pairs = stored(pairs, "pairs")
-    needed = pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct()
+    # Stored, so that its size is known and a small one is not joined by a shuffle of all lines.
+    needed = stored(
+        pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct(), "needed"
+    )
     texts = stored(_texts(docs, needed), "texts")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -369,8 +395,8 @@ def _matching(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc, line) of every line to remove; a NULL id is the largest long."""
-    lines, counts = _nodes(docs)
-    tokens = _tokens(docs, counts, percent)
+    lines, ranks = _nodes(docs)
+    tokens = _tokens(docs, ranks, percent)
     candidates = stored(_candidates(tokens, percent), "candidates")
     pairs = candidates.where("earlier is not null").select("later", "earlier").distinct()
     first = stored(_matching(pairs, docs, percent), "pairs")

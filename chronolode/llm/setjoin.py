@@ -14,25 +14,53 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolode.llm.arrays import mix
+from chronolode.llm.arrays import mix, order_of
 from chronolode.llm.common import stored
 
 # Counters of the rarity order; their number does not grow with the data.
 COUNTER_BITS = 16
+# Binary logarithm of the bits that tell which nodes are needed (2 MB in all).
+SEEN_BITS = 24
 
 
 def counter_of(code: np.ndarray) -> np.ndarray:
     return (code >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def counter_table(rows: DataFrame) -> np.ndarray:
-    """Sum (counter, n) rows into the table of all counters (2 ** COUNTER_BITS numbers)."""
-    out = np.zeros(1 << COUNTER_BITS, np.int64)
+def rarity(rows: DataFrame) -> np.ndarray:
+    """Sum (counter, n) rows; the rank of each of the 2 ** COUNTER_BITS counters, rarest first."""
+    total = np.zeros(1 << COUNTER_BITS, np.int64)
     for r in rows.groupBy("counter").agg(F.sum("n").alias("n")).collect():
-        out[r["counter"]] = r["n"]
+        total[r["counter"]] = r["n"]
+    rank = np.zeros(len(total), np.uint64)
+    rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
+    return rank
+
+
+def may_hold(nodes: DataFrame) -> np.ndarray:
+    """Bits, one of which is set for each of the given (node)s; their number is fixed.
+
+    Nodes whose bit is not set are none of the given ones.
+    """
+    at = F.pmod(F.col("node"), F.lit(1 << SEEN_BITS))
+    parts = (
+        nodes.groupBy(F.bitmap_bucket_number(at + 1).alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)).alias("bits"))
+        .collect()
+    )
+    out = np.zeros((1 << SEEN_BITS) // 8, np.uint8)
+    for r in parts:
+        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["part"] - 1) * len(bits) : r["part"] * len(bits)] = bits
     return out
 
 
+def seen(node: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which nodes have their bit set in ``bits`` of ``may_hold``."""
+    at = node.view(np.uint64) & np.uint64((1 << SEEN_BITS) - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def set_ids(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and fingerprints of the sets of n rows, given as distinct pairs ordered by row."""
     size = np.bincount(row, minlength=n).astype(np.int64)
@@ -44,14 +72,18 @@ def set_ids(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 
 def prefixes(
-    row: np.ndarray, code: np.ndarray, counts: np.ndarray, size: np.ndarray, percent: int
+    row: np.ndarray, code: np.ndarray, rank: np.ndarray, size: np.ndarray, percent: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, element and place of each set's rarest ``size - ceil(t * size) + 1`` elements.
 
     Any fixed order of elements makes prefix filtering exact; rarest first makes it cheap.
     Two matching sets share an element of both prefixes.
     """
-    order = np.lexsort((code, counts[counter_of(code)], row))
+    # A code's leading bits are its counter: the counter's rank replaces them.
+    ranked = (rank[counter_of(code)] << np.uint64(64 - COUNTER_BITS)) | (
+        code & np.uint64((1 << (64 - COUNTER_BITS)) - 1)
+    )
+    order = order_of(row, ranked)
     row, code = row[order], code[order]
     first = np.cumsum(size) - size
     place = np.arange(len(row)) - first[row]
@@ -84,7 +116,7 @@ def overlap(
     """Elements shared by the a-set and the b-set of each row (both given as distinct pairs)."""
     row = np.concatenate([row_a, row_b])
     code = np.concatenate([code_a, code_b])
-    order = np.lexsort((code, row))
+    order = order_of(row, code)
     row, code = row[order], code[order]
     twice = (row[1:] == row[:-1]) & (code[1:] == code[:-1])
     return np.bincount(row[1:][twice], minlength=n).astype(np.int64)

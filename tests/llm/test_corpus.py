@@ -13,7 +13,7 @@ import pytest
 
 from chronolode.llm import curriculum, decontamination, jaccard, line_dedup, lm, pii, setjoin
 from chronolode.llm.common import table
-from chronolode.llm.queries import ORACLE, QUERIES
+from chronolode.llm.queries import ORACLE, QUERIES, prepare
 from checks.compare import canonical, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -531,3 +531,28 @@ def test_training_order_follows_the_schedules(spark):
         slope = curriculum.SLOPES[rank % 3]
         whole = sum(r.taken for r in plan.values() if r.source == source)
         assert half[source] / whole == pytest.approx(0.5 - slope / 4, abs=0.12)
+
+
+def test_bitmaps_tell_long_lines_apart():
+    """Unrelated lines of 100 words pass a bitmap of 64 bits often, the wider one hardly ever."""
+    draw = np.random.default_rng(3)
+    text = pa.array([" ".join(f"w{i}" for i in draw.integers(0, 10**6, 100)) for _ in range(200)], pa.string())
+    lines = line_dedup.Lines(text)
+    bits = lines.bitmap().astype(np.uint64).reshape(200, -1)
+    rows = {"size": lines.size, "left": lines.size, "node": lines.node.view(np.int64)}
+    rows |= {name: bits[:, k].view(np.int64) for k, name in enumerate(("bits", "bits2")) if k < bits.shape[1]}
+    x, y = np.triu_indices(200, 1)
+    good, _ = line_dedup._passes({c: v[x] for c, v in rows.items()}, {c: v[y] for c, v in rows.items()}, 80)
+    assert good.sum() < 5
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    prepare(spark)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
+def test_nodes_that_are_needed_have_their_bit(spark):
+    node = np.random.default_rng(4).integers(-(1 << 63), (1 << 63) - 1, 2000)
+    bits = setjoin.may_hold(spark.createDataFrame([(int(n),) for n in node[:1000]], "node long"))
+    assert setjoin.seen(node[:1000], bits).all()
+    assert setjoin.seen(node[1000:], bits).sum() < 10
