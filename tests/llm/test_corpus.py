@@ -556,3 +556,14 @@ def test_nodes_that_are_needed_have_their_bit(spark):
     bits = setjoin.may_hold(spark.createDataFrame([(int(n),) for n in node[:1000]], "node long"))
     assert setjoin.seen(node[:1000], bits).all()
     assert setjoin.seen(node[1000:], bits).sum() < 10
+
+
+def test_texts_of_the_mix_are_shuffled_once_before_their_order(spark):
+    """Window and join share a shuffle; the second one brings the rows into order."""
+    df = frame(spark, [(i, "a b c " * (i % 5), None if i % 3 else "s") for i in range(40)])
+    plan = curriculum.training_order(df)._jdf.queryExecution().executedPlan().toString()
+    by_block = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "block" in x]
+    assert by_block
+    # A join by the source itself (NULL too) needs both in other keys, and the texts moved again.
+    assert not any("coalesce(source" in x or "isnull(source" in x for x in by_block)
+    assert sum("hashpartitioning(part" in x for x in by_block) <= 2, plan
