@@ -8,12 +8,13 @@ and every line with an earlier match is removed. Earlier means a smaller (doc_id
 NULL ids last. A removed line still removes its own later matches.
 
 The bitmap filter compares 128-bit images of two token sets (a token flips one bit): their
-differing bits are at most the differing tokens. 64 bits let most pairs of long lines pass.
+differing bits are at most the differing tokens. Bits fill up with the size of a line, so lines
+of more than ``WIDE_FROM`` tokens also have an image that widens with their size.
 
 Lines with equal sets are one node, known by its first place. A line is first tried with a few
-earlier lines of each token, those nearest by bitmap, which settles tight groups of copies in
-linear work; lines that had more candidates and no match among the tried ones are then joined
-with all earlier lines that pass the filters.
+earlier lines of each token, those nearest by bitmap: ``NEAREST`` if the nearest is all but equal,
+which settles tight groups of copies in linear work, else ``TRIED``. Lines that had more candidates
+and no match among the tried ones are then joined with all earlier lines that pass the filters.
 
 Defined results: a NULL text stays NULL and has no lines; removing keeps the other lines and
 their order and joins them with line feeds; a text may become empty. Rows with the same id
@@ -48,14 +49,18 @@ from chronolode.llm.setjoin import (
 
 LEAST_WORDS = 5
 PERCENT = 80
-# Earlier lines a line is tried with in each token before the others are looked at.
+# Earlier lines a line is tried with in each token before the others are looked at: this many
+# if the nearest differs in at most a quarter of the bits a match may differ in, else the latter.
 NEAREST = 2
+TRIED = 8
 # Lines of one token that are compared lag by lag, and that a task holds at most.
 SHORT_RUN = 32
 LONG_RUN = 16_384
 ROWS_AT_ONCE = 128
 FAR = 1 << 20
 BITS = ("bits", "bits2")
+# Lines of more tokens have a wide image: 256 bits up to twice as many, 512 up to four times, ...
+WIDE_FROM = 176
 LAST = (1 << 63) - 1  # place of a NULL id
 
 
@@ -92,6 +97,24 @@ class Lines:
         )
         return out
 
+    def wide(self, some: np.ndarray) -> list[bytes | None]:
+        """The wide images of the lines of a mask, as bytes; None for a line without one."""
+        out: list[bytes | None] = [None] * int(some.sum())
+        place = np.cumsum(some) - 1
+        level = np.where(some, wide_level(self.size), 0)
+        for k in np.unique(level[level > 0]).tolist():
+            at = np.flatnonzero(level == k)
+            keep = level[self.of] == k
+            bit = (self.code[keep] & np.uint64((128 << k) - 1)).astype(np.int64)
+            image = np.zeros((len(at), 2 << k), np.uint64)
+            row = np.searchsorted(at, self.of[keep])
+            np.bitwise_xor.at(
+                image.reshape(-1), row * (2 << k) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64)
+            )
+            for i, line in zip(place[at].tolist(), image):
+                out[i] = line.tobytes()
+        return out
+
     def fresh(self, met: dict[int, tuple[int, int]], doc: np.ndarray) -> np.ndarray:
         """Which lines have an earlier place than all of their node that the task has seen."""
         out = np.zeros(len(self.size), bool)
@@ -104,6 +127,20 @@ class Lines:
         return out
 
 
+def wide_level(size: np.ndarray) -> np.ndarray:
+    """Doublings of 128 bits that the wide image of lines of these sizes has; 0: it has none."""
+    return np.ceil(np.log2(np.maximum(size, WIDE_FROM) / WIDE_FROM)).astype(np.int64)
+
+
+def _images(wide: np.ndarray, level: int, to: int) -> np.ndarray:
+    """Wide images of one level as rows of words, folded to a lower level."""
+    out = np.frombuffer(b"".join(wide), np.uint64).reshape(len(wide), 2 << level)
+    while out.shape[1] > 2 << to:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return out
+
+
 def _place(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text"
@@ -141,7 +178,7 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def _tokens(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
-    """(key, node, size, left, bits, bits2, doc, line): prefix tokens of each node a task sees first."""
+    """(key, node, size, left, bits, bits2, doc, line, wide): prefix tokens of each node a task sees first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[int, tuple[int, int]] = {}
@@ -162,12 +199,14 @@ def _tokens(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
                     [int64(code), int64(lines.node[fresh][of]), pa.array(size[of].astype(np.int32)),
                      pa.array((size[of] - place).astype(np.int32)),
                      int64(np.ascontiguousarray(bits[of, 0])), int64(np.ascontiguousarray(bits[of, 1])),
-                     doc, pa.array(lines.number[fresh][of].astype(np.int32))],
-                    names=["key", "node", "size", "left", "bits", "bits2", "doc", "line"],
+                     doc, pa.array(lines.number[fresh][of].astype(np.int32)),
+                     pa.array(lines.wide(fresh), pa.binary()).take(pa.array(of))],
+                    names=["key", "node", "size", "left", "bits", "bits2", "doc", "line", "wide"],
                 )
 
     return _place(docs).mapInArrow(
-        run, "key long, node long, size int, left int, bits long, bits2 long, doc long, line int"
+        run,
+        "key long, node long, size int, left int, bits long, bits2 long, doc long, line int, wide binary",
     )
 
 
@@ -194,6 +233,36 @@ def _passes(a: dict, b: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return good, distance
 
 
+def _near_enough(
+    rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of row pairs that pass by size and place, those of two nodes whose images pass too."""
+    some = rows["node"][x] != rows["node"][y]
+    x, y = x[some], y[some]
+    most = (100 - percent) * (rows["size"][x] + rows["size"][y])
+    distance = _distance({c: rows[c][x] for c in BITS if c in rows}, {c: rows[c][y] for c in BITS if c in rows})
+    some = (100 + percent) * distance <= most
+    x, y, distance, most = x[some], y[some], distance[some], most[some]
+    if "wide" in rows and len(x):
+        a, b = wide_level(rows["size"][x]), wide_level(rows["size"][y])
+        for i, j in {(i, j) for i, j in zip(a.tolist(), b.tolist()) if i and j}:
+            at = np.flatnonzero((a == i) & (b == j))
+            both = [_images(rows["wide"][v[at]], k, min(i, j)) for v, k in ((x, i), (y, j))]
+            distance[at] = np.bitwise_count(both[0] ^ both[1]).sum(1, dtype=np.int64)
+        some = (100 + percent) * distance <= most
+        x, y, distance = x[some], y[some], distance[some]
+    return x, y, distance
+
+
+def _nearest(
+    x: np.ndarray, y: np.ndarray, distance: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs ordered by x and distance, and how many of the same x come before each."""
+    order = np.lexsort((y, distance, x))
+    x, y, distance = x[order], y[order], distance[order]
+    return x, y, distance, np.arange(len(x)) - np.searchsorted(x, x)
+
+
 def _pairs_in_runs(
     rows: dict[str, np.ndarray], percent: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,9 +270,11 @@ def _pairs_in_runs(
 
     Rows are ordered by key and place. Short runs are compared lag by lag, all at once. In
     longer ones some rows at a time are compared with those whose size is near enough, and
-    of what passes the ``NEAREST + 1`` nearest are kept for each.
+    of what passes the ``TRIED + 1`` nearest are kept for each.
     """
-    key = rows["key"]
+    key, size = rows["key"], rows["size"]
+    # Largest size of a partner: by the length filter, and by the positional one.
+    most = np.minimum(100 * size // percent, (100 + percent) * rows["left"] // percent - size)
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
@@ -217,62 +288,76 @@ def _pairs_in_runs(
         if not len(x):
             break
         y = x - lag
-        good, distance = _passes(
-            {c: v[x] for c, v in rows.items()}, {c: v[y] for c, v in rows.items()}, percent
-        )
-        found.append((x[good], y[good], distance[good]))
+        good = (size[y] <= most[x]) & (size[x] <= most[y])
+        found.append(_near_enough(rows, x[good], y[good], percent))
     for a, n in zip(bounds[:-1][length > SHORT_RUN], length[length > SHORT_RUN]):
-        order = a + np.argsort(rows["size"][a : a + n], kind="stable")
-        size = rows["size"][order]
+        order = a + np.argsort(size[a : a + n], kind="stable")
+        ordered, limit = size[order], most[order]
         for i in range(0, n, ROWS_AT_ONCE):
             x = order[i : i + ROWS_AT_ONCE]
-            low = np.searchsorted(size, percent * int(size[i]) // 100)
-            high = np.searchsorted(size, 100 * int(rows["size"][x[-1]]) // percent + 1, "right")
+            low = np.searchsorted(ordered, percent * int(ordered[i]) // 100)
+            high = np.searchsorted(ordered, 100 * int(size[x[-1]]) // percent + 1, "right")
             y = order[low:high]
-            good, distance = _passes(
-                {c: v[x][:, None] for c, v in rows.items()},
-                {c: v[y][None, :] for c, v in rows.items()},
-                percent,
+            good = (
+                (ordered[None, low:high] <= most[x][:, None])
+                & (size[x][:, None] <= limit[None, low:high])
+                & (y[None, :] < x[:, None])
             )
-            distance[~(good & (y[None, :] < x[:, None]))] = FAR
-            if len(y) > NEAREST + 1:
-                near = np.argpartition(distance, NEAREST, axis=1)[:, : NEAREST + 1]
-                distance = np.take_along_axis(distance, near, 1)
-            else:
-                near = np.broadcast_to(np.arange(len(y)), distance.shape)
-            at, pick = np.nonzero(distance < FAR)
-            found.append((x[at], y[near[at, pick]], distance[at, pick]))
+            at, pick = np.nonzero(good)
+            *pairs, rank = _nearest(*_near_enough(rows, x[at], y[pick], percent))
+            found.append(tuple(v[rank <= max(TRIED, NEAREST)] for v in pairs))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
-    """(later, earlier, key): candidate pairs, and with ``earlier`` NULL what they leave out.
+def _first_rows(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The first place of each node in each key, ordered by key and place; keys are in order."""
+    key = rows["key"]
+    alone = np.ones(len(key) + 1, bool)
+    alone[1:-1] = key[1:] != key[:-1]
+    at = np.flatnonzero(~(alone[1:] & alone[:-1]))  # a key of one row gives no pair
+    at = at[np.lexsort((rows["line"][at], rows["doc"][at], key[at]))]
+    node, key = rows["node"][at], key[at]
+    order = np.lexsort((node, key))
+    first = np.ones(len(order), bool)
+    first[1:] = (node[order][1:] != node[order][:-1]) | (key[order][1:] != key[order][:-1])
+    at = at[np.sort(order[first])]
+    return {c: v[at] for c, v in rows.items()}
 
-    One shuffle by token. A line is paired, in each of its tokens, with the ``NEAREST``
-    earlier lines by bit distance (each task sends a node with its earliest place there, so the
-    place of a node's first line is always among its rows); if more pass the filters, a row without ``earlier`` says
-    so. Of a token with more than ``LONG_RUN`` lines none is held: each of its lines is
-    paired with the earliest, and all but that one are said to have more.
+
+def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (later, earlier) to try; with ``earlier`` NULL, rows of (later) that had more.
+
+    One shuffle by token. A line is paired, in each of its tokens, with the nearest earlier
+    lines by bit distance (each task sends a node with its earliest place there, so the place of
+    a node's first line is always among its rows, and its other rows of the key are dropped); if
+    more pass the filters, its row of the token without ``earlier`` says so. Of a token with more
+    than ``LONG_RUN`` lines none is held: each of its lines is paired with one of them, and all
+    are said to have more.
     """
-    columns = ["key", "node", "size", "left", *BITS]
-    out = ["later", "earlier", "key"]
+    columns = ["key", "node", "size", "left", *BITS, "doc", "line"]
+    details = ["key", "size", "left", *BITS, "doc", "line"]
+    out = pa.schema([("later", pa.int64()), ("earlier", pa.int64()), *((c, pa.int64()) for c in details)])
 
-    def emit(later, earlier, key) -> pa.RecordBatch:
+    def emit(later: np.ndarray, earlier: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(later), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), *[none] * len(details)], schema=out)
+
+    def had_more(rows: dict[str, np.ndarray], x: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(x), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(later, pa.int64()), pa.array(earlier, pa.int64()), pa.array(key, pa.int64())],
-            names=out,
+            [pa.array(rows["node"][x]), none, *(pa.array(rows[c][x]) for c in details)], schema=out
         )
 
     def whole(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x, y, distance = _pairs_in_runs(rows, percent)
-        order = np.lexsort((y, distance, x))
-        x, y = x[order], y[order]
-        at = np.arange(len(x)) - np.searchsorted(x, x)
-        near, more = at < NEAREST, at == NEAREST
-        node, key = rows["node"], rows["key"]
-        pairs = np.unique(np.stack([node[x[near]], node[y[near]]]), axis=1)
-        yield emit(pairs[0], pairs[1], np.zeros(pairs.shape[1], np.int64))
-        yield emit(node[x[more]], pa.nulls(int(more.sum()), pa.int64()), key[x[more]])
+        rows = _first_rows(rows)
+        x, y, distance, rank = _nearest(*_pairs_in_runs(rows, percent))
+        best = distance[np.arange(len(x)) - rank]
+        close = 4 * (100 + percent) * best <= (100 - percent) * (rows["size"][x] + rows["size"][y])
+        tried = np.where(close, NEAREST, max(NEAREST, TRIED))
+        node = rows["node"]
+        pairs = np.unique(np.stack([node[x[rank < tried]], node[y[rank < tried]]]), axis=1)
+        yield emit(pairs[0], pairs[1])
+        yield had_more(rows, np.unique(x[rank >= tried]))
 
     def long_run(rows: dict[str, np.ndarray], leader: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         x = rows["node"] != leader["node"][0]
@@ -281,20 +366,20 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
         near = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (
             (100 + percent) * distance <= (100 - percent) * (m + n)
         )
-        k = int(near.sum())
-        yield emit(node[near], np.full(k, leader["node"][0]), np.zeros(k, np.int64))
-        yield emit(node, pa.nulls(len(node), pa.int64()), rows["key"][x])
+        yield emit(node[near], np.full(int(near.sum()), leader["node"][0]))
+        yield had_more(rows, np.arange(len(rows["node"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         size, leader = 0, None
         for batch in batches:
             rows = {c: batch.column(c).to_numpy().astype(np.int64, copy=False) for c in columns}
+            rows["wide"] = batch.column("wide").to_numpy(zero_copy_only=False)
             held.append(rows)
             size += len(rows["key"])
             if size < LONG_RUN:
                 continue
-            rows = {c: np.concatenate([h[c] for h in held]) for c in columns}
+            rows = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
             if leader is not None:
                 cut = int(np.searchsorted(rows["key"], leader["key"][0], "right"))
                 yield from long_run({c: v[:cut] for c, v in rows.items()}, leader)
@@ -304,14 +389,14 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
                 cut = int(np.searchsorted(rows["key"], rows["key"][-1]))
                 if len(rows["key"]) - cut >= LONG_RUN:
                     leader = {c: v[cut : cut + 1] for c, v in rows.items()}
-                    yield from long_run({c: v[cut + 1 :] for c, v in rows.items()}, leader)
+                    yield from long_run({c: v[cut:] for c, v in rows.items()}, leader)
                     tail = {c: v[:0] for c, v in rows.items()}
                 else:
                     tail = {c: v[cut:] for c, v in rows.items()}
                 yield from whole({c: v[:cut] for c, v in rows.items()})
                 rows = tail
             held, size = [rows], len(rows["key"])
-        rows = {c: np.concatenate([h[c] for h in held]) for c in columns} if held else None
+        rows = {c: np.concatenate([h[c] for h in held]) for c in held[0]} if held else None
         if rows is not None and leader is not None:
             cut = int(np.searchsorted(rows["key"], leader["key"][0], "right"))
             yield from long_run({c: v[:cut] for c, v in rows.items()}, leader)
@@ -321,9 +406,9 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
 
     return (
         tokens.repartition("key")
-        .sortWithinPartitions("key", "doc", "line")
-        .select(*columns)
-        .mapInArrow(run, "later long, earlier long, key long")
+        .sortWithinPartitions("key")
+        .select(*columns, "wide")
+        .mapInArrow(run, ", ".join(f"{c} long" for c in out.names))
     )
 
 
@@ -406,21 +491,20 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Lines with more candidates than were tried, and no match among those.
     more = stored(
         candidates.where("earlier is null")
-        .select(F.col("later").alias("node"), "key")
+        .drop("earlier")
+        .withColumnRenamed("later", "node")
         .distinct()
         .join(matched, "node", "left_anti"),
         "more",
     )
     if not more.isEmpty():
-        index = stored(
-            tokens.join(more.select("key").distinct(), "key", "left_semi").join(firsts, "node"), "index"
-        )
-        x = index.join(more, ["key", "node"], "left_semi").alias("x")
+        # Only these rows meet the others of their tokens; no token is brought in whole.
         rest = (
-            x.join(
-                index.alias("y"),
+            tokens.drop("wide").alias("y").join(
+                more.alias("x"),
                 (F.col("x.key") == F.col("y.key"))
-                & (F.col("y.first") < F.col("x.first"))
+                & (F.col("x.node") != F.col("y.node"))
+                & (F.struct("y.doc", F.col("y.line").cast("long")) < F.struct("x.doc", "x.line"))
                 & _filters("x", "y", percent),
             )
             .select(F.col("x.node").alias("later"), F.col("y.node").alias("earlier"))

@@ -567,3 +567,43 @@ def test_texts_of_the_mix_are_shuffled_once_before_their_order(spark):
     # A join by the source itself (NULL too) needs both in other keys, and the texts moved again.
     assert not any("coalesce(source" in x or "isnull(source" in x for x in by_block)
     assert sum("hashpartitioning(part" in x for x in by_block) <= 2, plan
+
+
+@pytest.mark.parametrize(("tried", "held"), [(1, line_dedup.LONG_RUN), (1, 20), (8, 20)])
+def test_line_dedup_tries_the_rest_in_a_second_round(spark, line_rows, monkeypatch, tried, held):
+    monkeypatch.setattr(line_dedup, "NEAREST", 1)
+    monkeypatch.setattr(line_dedup, "TRIED", tried)
+    monkeypatch.setattr(line_dedup, "LONG_RUN", held)
+    monkeypatch.setattr(line_dedup, "WIDE_FROM", 10)
+    gone = brute_lines(line_rows, line_dedup.PERCENT)
+    df = frame(spark, line_rows).repartition(5)
+    assert {tuple(r) for r in line_dedup.removed_lines(df).collect()} == gone
+
+
+def test_unrelated_long_lines_of_one_token_are_no_candidates(spark):
+    """Their 128 bits are full, so all of them passed, and whole tokens met in the second round."""
+    draw = np.random.default_rng(5)
+    texts = ["all share this " + " ".join(f"w{i}" for i in draw.integers(0, 10**6, n)) for n in range(300, 360)]
+    texts += [texts[7] + " more", texts[7]]
+    df = frame(spark, list(enumerate(texts)))
+    ranks = np.arange(1 << setjoin.COUNTER_BITS, dtype=np.uint64)
+    # As if the shared words were the rarest.
+    shared = line_dedup.Lines(pa.array(["all share this 1 2"])).code
+    ranks[setjoin.counter_of(shared)] = 0
+    found = line_dedup._candidates(line_dedup._tokens(df.withColumnRenamed("doc", "doc_id"), ranks, 80), 80).collect()
+    assert len({(r.later, r.earlier) for r in found if r.earlier is not None}) < 5
+    assert not [r for r in found if r.earlier is None]
+    assert {tuple(r) for r in line_dedup.removed_lines(df).collect()} == {(60, 0), (61, 0)}
+
+
+def test_copies_of_a_line_do_not_make_it_one_with_more_candidates(spark):
+    base = " ".join(f"w{i}" for i in range(30))
+    near = [f"{base} x{i}" for i in range(4)]
+    # The first line comes again behind its near copies, in a task of its own.
+    first = frame(spark, [(0, base)]).coalesce(1)
+    df = first.union(frame(spark, list(enumerate(near, 1))).coalesce(1)).union(frame(spark, [(9, base)]).coalesce(1))
+    ranks = np.arange(1 << setjoin.COUNTER_BITS, dtype=np.uint64)
+    node = line_dedup.Lines(pa.array([base])).node.view(np.int64)[0]
+    found = line_dedup._candidates(line_dedup._tokens(df, ranks, 80), 80).collect()
+    assert node not in {r.later for r in found}
+    assert {r.doc for r in line_dedup.removed_lines(df).collect()} == {1, 2, 3, 4, 9}
