@@ -22,6 +22,10 @@ word's pivots with every word's prefix bigrams on (bigram, position, length), at
 (position, length) shifts one edit allows, finds every near pair; ``levenshtein`` verifies each candidate exactly. The join keys are the
 bigram, the position and the length, so a common bigram is split by where it stands.
 
+Two filters of fixed-size numbers come before it, as most words that share a bigram are far
+apart: one edit changes the parity of at most two letters (``letters``), and leaves what stands
+left of a surviving bigram or what stands right of it as it was (64-bit fingerprints).
+
 Defined cases: NULL or empty texts and texts without letters give no run. Repeated documents
 count as often as they occur. Ties in ``n`` go to the smaller word. Chains of forms end, as
 ``n`` at least doubles at each step. An empty table gives no row. Extra columns are ignored.
@@ -31,11 +35,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolode.llm.common import LOWER, UPPER, stored
+from chronolode.llm.common import LOWER, UPPER, stored, with_fields
 
 # Fixed values of the contract.
 RUN = "[A-Za-z\\u00C0-\\u00FF]+"
@@ -106,10 +112,39 @@ def pivots_of(prefix: list[tuple[int, int, str]], k: int = TAU + 1, q: int = Q)
 def _pivots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for word, size, prefix in zip(batch["word"], batch["size"], batch["prefix"]):
+        for word, size, letters, prefix in zip(batch["word"], batch["size"], batch["letters"], batch["prefix"]):
             for pos, gram in pivots_of([(int(g["pos"]), int(g["count"]), g["gram"]) for g in prefix]):
-                out.append((word, size, gram, pos))
-        yield pd.DataFrame(out, columns=["word", "size", "gram", "pos"])
+                out.append((word, size, letters, gram, pos))
+        yield pd.DataFrame(out, columns=["word", "size", "letters", "gram", "pos"])
+
+
+def letters_of(words: list[str]) -> np.ndarray:
+    """Bit by bit of 64, whether an odd number of a word's code points (modulo 64) fall on it."""
+    at = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    out = np.zeros(len(words), np.uint64)
+    np.bitwise_xor.at(out, row, np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _letters(rows: DataFrame) -> DataFrame:
+    """All columns, and the ``letters`` of the word."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = batch.column("word").to_pylist()
+        return batch.append_column("letters", pa.array(letters_of(words)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(step, batches)
+
+    return rows.mapInArrow(run, with_fields(rows, rows.columns, "letters long"))
+
+
+def _sides(rows: DataFrame) -> DataFrame:
+    """All columns, and fingerprints of what stands left and right of the bigram in its word."""
+    return rows.withColumn("left", F.expr("xxhash64(substring(word, 1, pos))")).withColumn(
+        "right", F.expr(f"xxhash64(substring(word, pos + 1 + {Q}))")
+    )
 
 
 def _grams(vocabulary: DataFrame) -> DataFrame:
@@ -131,15 +166,15 @@ def candidates(vocabulary: DataFrame) -> DataFrame:
         F.rank().over(Window.partitionBy("word").orderBy("count", "gram")),
     )
     prefix = stored(
-        ranked.where(F.col("place") <= Q * TAU + 1).select("word", "size", "pos", "gram", "count"),
+        _letters(ranked.where(F.col("place") <= Q * TAU + 1).select("word", "size", "pos", "gram", "count")),
         "spelling-prefix",
     )
     # Order key of each word's last prefix bigram: the lemma needs a pivot of one word in the
     # prefix of a word whose last prefix bigram is not earlier.
     last = prefix.groupBy("word").agg(F.max(F.struct("count", "gram")).alias("last"))
-    pivots = prefix.groupBy("word", "size").agg(
+    pivots = prefix.groupBy("word", "size", "letters").agg(
         F.collect_list(F.struct("pos", "count", "gram")).alias("prefix")
-    ).mapInPandas(_pivots, "word string, size int, gram string, pos int")
+    ).mapInPandas(_pivots, "word string, size int, letters long, gram string, pos int")
     # Where a pivot of a can stand in b: one replaced code point keeps the length and the
     # position; one inserted (deleted) code point adds (takes) one to the length and moves what
     # follows it one place on (back). So (position, length) changes by (0, 0), (0, +1), (+1, +1),
@@ -153,17 +188,29 @@ def candidates(vocabulary: DataFrame) -> DataFrame:
             )
         )
     )
+    told = ["letters", "left", "right"]
     probes = (
-        pivots.join(last, "word")
-        .select(F.col("word").alias("a"), F.col("last").alias("a_last"), "gram", near.alias("at"))
-        .select("a", "a_last", "gram", F.col("at.pos").alias("pos"), F.col("at.size").alias("size"))
-    )
-    indexed = prefix.join(last, "word").select(
-        F.col("word").alias("b"), F.col("last").alias("b_last"), "gram", "pos", "size"
-    )
+        _sides(pivots)
+        .join(last, "word")
+        .select(
+            F.col("word").alias("a"), F.col("last").alias("a_last"), "gram", near.alias("at"),
+            *(F.col(c).alias(f"a_{c}") for c in told),
+        )
+        .select("a", "a_last", "gram", F.col("at.pos").alias("pos"), F.col("at.size").alias("size"),
+                *(f"a_{c}" for c in told))
+    )
+    indexed = _sides(prefix).join(last, "word").select(
+        F.col("word").alias("b"), F.col("last").alias("b_last"), "gram", "pos", "size",
+        *(F.col(c).alias(f"b_{c}") for c in told),
+    )
     found = probes.join(indexed, ["gram", "pos", "size"])
     return (
-        found.where((F.col("a") != F.col("b")) & (F.col("b_last") >= F.col("a_last")))
+        found.where(
+            (F.bit_count(F.col("a_letters").bitwiseXOR(F.col("b_letters"))) <= 2 * TAU)
+            & ((F.col("a_left") == F.col("b_left")) | (F.col("a_right") == F.col("b_right")))
+            & (F.col("a") != F.col("b"))
+            & (F.col("b_last") >= F.col("a_last"))
+        )
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
 

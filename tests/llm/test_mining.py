@@ -217,3 +217,24 @@ def test_spelling_query_on_the_table(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text").collect()
     got = sorted(tuple(r) for r in QUERIES["op13_spelling_variants"](spark, sf).collect())
     assert got == sorted(spelling.brute_force([(r.doc_id, r.text) for r in docs]))
+
+
+def test_spelling_candidates_are_few(spark):
+    """Words of one rare bigram at the same place, far apart but for it, are no candidates."""
+    rng = random.Random(8)
+
+    def some(n):
+        return "".join(rng.choice("abcde") for _ in range(n))
+
+    rare = [some(4) + "zz" + some(4) for _ in range(60)]
+    near = [(rare[0], rare[0][:-1]), (rare[1], "é" + rare[1]), (rare[2], rare[2][:9] + "z")]
+    words = {*rare, *(some(10) for _ in range(500)), *(w for p in near for w in p)}
+    vocabulary = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
+    found = {tuple(r) for r in spelling.candidates(vocabulary).collect()}
+    assert {tuple(sorted(p)) for p in near} <= found
+    assert sum("zz" in a and "zz" in b for a, b in found) < 100
+
+
+def test_letters_tell_odd_counts():
+    got = spelling.letters_of(["aab", "b", "", "ÿb"]).view(np.uint64).tolist()
+    assert got == [1 << (98 & 63), 1 << (98 & 63), 0, 1 << (98 & 63) | 1 << (255 & 63)]
