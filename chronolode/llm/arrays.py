@@ -47,6 +47,22 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every line (rows split at line feeds), in order."""
+    rows = len(offsets) - 1
+    feeds = np.flatnonzero(data == 10)
+    feed_rows = np.searchsorted(offsets, feeds, "right") - 1
+    start = np.concatenate([offsets[:-1], feeds + 1])
+    row = np.concatenate([np.arange(rows), feed_rows])
+    # A line feed may end its row, and so begin where the next row does: order by row first.
+    order = np.lexsort((start, row))
+    start, row = start[order], row[order]
+    end = offsets[row + 1].copy()
+    same = np.flatnonzero(row[1:] == row[:-1])
+    end[same] = start[same + 1] - 1
+    return start, end, row
+
+
 class Words:
     """Words of all rows of a string column, in order.
 
@@ -85,17 +101,7 @@ class Words:
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and row of every line (rows split at line feeds), in order."""
-        feeds = np.flatnonzero(self.data == 10)
-        feed_rows = np.searchsorted(self.offsets, feeds, "right") - 1
-        start = np.concatenate([self.offsets[:-1], feeds + 1])
-        row = np.concatenate([np.arange(self.rows), feed_rows])
-        # A line feed may end its row, and so begin where the next row does: order by row first.
-        order = np.lexsort((start, row))
-        start, row = start[order], row[order]
-        end = self.offsets[row + 1].copy()
-        same = np.flatnonzero(row[1:] == row[:-1])
-        end[same] = start[same + 1] - 1
-        return start, end, row
+        return line_spans(self.data, self.offsets)
 
     def count(self) -> np.ndarray:
         """Words per row."""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolode.llm.arrays import Words, sets
+from chronolode.llm.arrays import Words, line_spans, sets, utf8
 from chronolode.llm.common import map_arrow, stored, text_steps
 from chronolode.llm.setjoin import (
     COUNTER_BITS,
@@ -50,9 +50,9 @@ from chronolode.llm.setjoin import (
 LEAST_WORDS = 5
 PERCENT = 80
 # Earlier lines a line is tried with in each token before the others are looked at: this many
-# if the nearest differs in at most a quarter of the bits a match may differ in, else the latter.
+# if the nearest differs in at most a third of the bits a match may differ in, else the latter.
 NEAREST = 2
-TRIED = 8
+TRIED = 32
 # Lines of one token that are compared lag by lag, and that a task holds at most.
 SHORT_RUN = 32
 LONG_RUN = 16_384
@@ -272,9 +272,11 @@ def _pairs_in_runs(
     longer ones some rows at a time are compared with those whose size is near enough, and
     of what passes the ``TRIED + 1`` nearest are kept for each.
     """
-    key, size = rows["key"], rows["size"]
+    key, size = rows["key"], rows["size"].astype(np.int32)
     # Largest size of a partner: by the length filter, and by the positional one.
-    most = np.minimum(100 * size // percent, (100 + percent) * rows["left"] // percent - size)
+    most = np.minimum(
+        100 * rows["size"] // percent, (100 + percent) * rows["left"] // percent - rows["size"]
+    ).astype(np.int32)
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
@@ -352,7 +354,7 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
         rows = _first_rows(rows)
         x, y, distance, rank = _nearest(*_pairs_in_runs(rows, percent))
         best = distance[np.arange(len(x)) - rank]
-        close = 4 * (100 + percent) * best <= (100 - percent) * (rows["size"][x] + rows["size"][y])
+        close = 3 * (100 + percent) * best <= (100 - percent) * (rows["size"][x] + rows["size"][y])
         tried = np.where(close, NEAREST, max(NEAREST, TRIED))
         node = rows["node"]
         pairs = np.unique(np.stack([node[x[rank < tried]], node[y[rank < tried]]]), axis=1)
@@ -421,40 +423,55 @@ def _filters(x: str, y: str, percent: int):
     )
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text): one line of each of the given nodes; most others stay in their task."""
-    bits = may_hold(nodes)
+# Places are numbered so that neighbouring ones differ; the numbers of others may be equal.
+PLACE_DOCS, PLACE_STEP = 1 << 40, 1009
+
+
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, text): the text of each of the needed (node, doc, line).
+
+    Only lines whose place may be needed are taken apart; the node tells those that are.
+    """
+    bits = may_hold(
+        needed.select((F.pmod("doc", F.lit(PLACE_DOCS)) * PLACE_STEP + F.col("line")).alias("node"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
             for part in text_steps(batch):
-                lines = Lines(part.column("text"))
-                maybe = np.flatnonzero(seen(lines.node, bits))
-                names = lines.node[maybe].tolist()
-                at = maybe[np.array([name not in met for name in names], bool)]
+                data, offsets = utf8(part.column("text"))
+                start, end, row = line_spans(data, offsets)
+                number = np.arange(len(row)) - np.searchsorted(row, row)
+                place = part.column("doc").to_numpy()[row] % PLACE_DOCS * PLACE_STEP + number
+                maybe = np.flatnonzero(seen(place, bits))
+                data = data.tobytes()
+                texts = [data[a:b].decode("utf-8") for a, b in zip(start[maybe], end[maybe])]
+                texts = pa.array(texts, pa.string())
+                lines = Lines(texts)
+                names = lines.node.tolist()
+                at = np.flatnonzero(np.array([name not in met for name in names], bool))
                 met.update(names)
-                data = lines.data.tobytes()
-                texts = [data[a:b].decode("utf-8") for a, b in zip(lines.start[at], lines.end[at])]
                 yield pa.RecordBatch.from_arrays(
-                    [int64(lines.node[at]), pa.array(texts, pa.string())], names=["node", "text"]
+                    [int64(lines.node[at]), texts.take(pa.array(lines.row[at]))], names=["node", "text"]
                 )
 
     return (
-        docs.select("text")
+        _place(docs)
         .mapInArrow(run, "node long, text string")
-        .join(nodes, "node", "left_semi")
+        .join(needed, "node", "left_semi")
         .dropDuplicates(["node"])
     )
 
 
-def _matching(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _matching(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """(later, earlier, same): whether the Jaccard of two whole lines reaches the threshold."""
     pairs = stored(pairs, "pairs")
     # Stored, so that its size is known and a small one is not joined by a shuffle of all lines.
-    needed = stored(
+    nodes = stored(
         pairs.select(F.col("later").alias("node")).union(pairs.select("earlier")).distinct(), "needed"
     )
+    needed = stored(firsts.join(nodes, "node", "left_semi").select("node", "first.doc", "first.line"), "needed")
     texts = stored(_texts(docs, needed), "texts")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -484,9 +501,14 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tokens = _tokens(docs, ranks, percent)
     candidates = stored(_candidates(tokens, percent), "candidates")
     pairs = candidates.where("earlier is not null").select("later", "earlier").distinct()
-    first = stored(_matching(pairs, docs, percent), "pairs")
     # The earliest place of a node in the whole corpus decides which of two lines is later.
-    firsts = stored(lines.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first")), "firsts")
+    firsts = stored(
+        lines.groupBy("node").agg(
+            F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("lines")
+        ),
+        "firsts",
+    )
+    first = stored(_matching(pairs, docs, firsts, percent), "pairs")
     matched = _oriented(first.where("same"), firsts)
     # Lines with more candidates than were tried, and no match among those.
     more = stored(
@@ -511,12 +533,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             .distinct()
             .join(first.select("later", "earlier"), ["later", "earlier"], "left_anti")
         )
-        again = stored(_matching(rest, docs, percent), "pairs").where("same")
+        again = stored(_matching(rest, docs, firsts, percent), "pairs").where("same")
         matched = matched.union(_oriented(again, firsts)).distinct()
     gone = matched.withColumn("gone", F.lit(True))
+    # Stored, as only few nodes have a line to remove: the others' lines meet nothing.
+    some = stored(
+        firsts.join(gone, "node", "left").where((F.col("lines") > 1) | F.col("gone")).drop("lines"),
+        "gone",
+    )
     return (
-        lines.join(firsts, "node")
-        .join(gone, "node", "left")
+        lines.join(some, "node")
         .where((F.struct("doc", "line") > F.col("first")) | F.coalesce("gone", F.lit(False)))
         .select("doc", "line")
         .distinct()

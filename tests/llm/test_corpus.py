@@ -600,8 +600,7 @@ def test_copies_of_a_line_do_not_make_it_one_with_more_candidates(spark):
     base = " ".join(f"w{i}" for i in range(30))
     near = [f"{base} x{i}" for i in range(4)]
     # The first line comes again behind its near copies, in a task of its own.
-    first = frame(spark, [(0, base)]).coalesce(1)
-    df = first.union(frame(spark, list(enumerate(near, 1))).coalesce(1)).union(frame(spark, [(9, base)]).coalesce(1))
+    df = frame(spark, [(0, base), *enumerate(near, 1), (9, base)]).repartitionByRange(6, "doc_id")
     ranks = np.arange(1 << setjoin.COUNTER_BITS, dtype=np.uint64)
     node = line_dedup.Lines(pa.array([base])).node.view(np.int64)[0]
     found = line_dedup._candidates(line_dedup._tokens(df, ranks, 80), 80).collect()
