@@ -13,8 +13,9 @@ of more than ``WIDE_FROM`` tokens also have an image that widens with their size
 
 Lines with equal sets are one node, known by its first place. A line is first tried with a few
 earlier lines of each token, those nearest by bitmap: ``NEAREST`` if the nearest is all but equal,
-which settles tight groups of copies in linear work, else ``TRIED``. Lines that had more candidates
-and no match among the tried ones are then joined with all earlier lines that pass the filters.
+which settles tight groups of copies in linear work, else ``TRIED``. Lines without a match among
+those are tried with the next ones, held back until then (up to ``HELD``); lines that had more are
+joined with all earlier lines that pass the filters.
 
 Defined results: a NULL text stays NULL and has no lines; removing keeps the other lines and
 their order and joins them with line feeds; a text may become empty. Rows with the same id
@@ -53,6 +54,8 @@ PERCENT = 80
 # if the nearest differs in at most a third of the bits a match may differ in, else the latter.
 NEAREST = 2
 TRIED = 32
+# Nearest lines that are tried or held back, in the same two cases.
+HELD = (16, 256)
 # Lines of one token that are compared lag by lag, and that a task holds at most.
 SHORT_RUN = 32
 LONG_RUN = 16_384
@@ -270,7 +273,7 @@ def _pairs_in_runs(
 
     Rows are ordered by key and place. Short runs are compared lag by lag, all at once. In
     longer ones some rows at a time are compared with those whose size is near enough, and
-    of what passes the ``TRIED + 1`` nearest are kept for each.
+    of what passes one more than the most ever held back are kept for each.
     """
     key, size = rows["key"], rows["size"].astype(np.int32)
     # Largest size of a partner: by the length filter, and by the positional one.
@@ -307,7 +310,7 @@ def _pairs_in_runs(
             )
             at, pick = np.nonzero(good)
             *pairs, rank = _nearest(*_near_enough(rows, x[at], y[pick], percent))
-            found.append(tuple(v[rank <= max(TRIED, NEAREST)] for v in pairs))
+            found.append(tuple(v[rank <= max(*HELD, TRIED, NEAREST)] for v in pairs))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -327,7 +330,7 @@ def _first_rows(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
-    """Pairs (later, earlier) to try; with ``earlier`` NULL, rows of (later) that had more.
+    """Pairs (later, earlier) to try, or ``held`` back; with ``earlier`` NULL, rows of (later) with more.
 
     One shuffle by token. A line is paired, in each of its tokens, with the nearest earlier
     lines by bit distance (each task sends a node with its earliest place there, so the place of
@@ -338,16 +341,24 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
     """
     columns = ["key", "node", "size", "left", *BITS, "doc", "line"]
     details = ["key", "size", "left", *BITS, "doc", "line"]
-    out = pa.schema([("later", pa.int64()), ("earlier", pa.int64()), *((c, pa.int64()) for c in details)])
-
-    def emit(later: np.ndarray, earlier: np.ndarray) -> pa.RecordBatch:
+    out = pa.schema([(c, pa.int64()) for c in ("later", "earlier", "held", *details)])
+
+    def emit(later: np.ndarray, earlier: np.ndarray, held: int) -> pa.RecordBatch:
+        order = np.lexsort((earlier, later))
+        later, earlier = later[order], earlier[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1])
+        later, earlier = later[new], earlier[new]
         none = pa.nulls(len(later), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), *[none] * len(details)], schema=out)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(later), pa.array(earlier), pa.array(np.full(len(later), held)), *[none] * len(details)],
+            schema=out,
+        )
 
     def had_more(rows: dict[str, np.ndarray], x: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(x), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows["node"][x]), none, *(pa.array(rows[c][x]) for c in details)], schema=out
+            [pa.array(rows["node"][x]), none, none, *(pa.array(rows[c][x]) for c in details)], schema=out
         )
 
     def whole(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -356,10 +367,12 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
         best = distance[np.arange(len(x)) - rank]
         close = 3 * (100 + percent) * best <= (100 - percent) * (rows["size"][x] + rows["size"][y])
         tried = np.where(close, NEAREST, max(NEAREST, TRIED))
-        node = rows["node"]
-        pairs = np.unique(np.stack([node[x[rank < tried]], node[y[rank < tried]]]), axis=1)
-        yield emit(pairs[0], pairs[1])
-        yield had_more(rows, np.unique(x[rank >= tried]))
+        most = np.maximum(tried, np.where(close, *HELD))
+        node, now = rows["node"], rank < tried
+        later = ~now & (rank < most)
+        yield emit(node[x[now]], node[y[now]], 0)
+        yield emit(node[x[later]], node[y[later]], 1)
+        yield had_more(rows, np.unique(x[rank >= most]))
 
     def long_run(rows: dict[str, np.ndarray], leader: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         x = rows["node"] != leader["node"][0]
@@ -368,7 +381,7 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
         near = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (
             (100 + percent) * distance <= (100 - percent) * (m + n)
         )
-        yield emit(node[near], np.full(int(near.sum()), leader["node"][0]))
+        yield emit(node[near], np.full(int(near.sum()), leader["node"][0]), 0)
         yield had_more(rows, np.arange(len(rows["node"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,7 +513,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines, ranks = _nodes(docs)
     tokens = _tokens(docs, ranks, percent)
     candidates = stored(_candidates(tokens, percent), "candidates")
-    pairs = candidates.where("earlier is not null").select("later", "earlier").distinct()
+    pairs = candidates.where("held = 0").select("later", "earlier").distinct()
     # The earliest place of a node in the whole corpus decides which of two lines is later.
     firsts = stored(
         lines.groupBy("node").agg(
@@ -509,11 +522,23 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "firsts",
     )
     first = stored(_matching(pairs, docs, firsts, percent), "pairs")
-    matched = _oriented(first.where("same"), firsts)
+    matched = stored(_oriented(first.where("same"), firsts), "matched")
+    held = stored(
+        candidates.where("held = 1")
+        .select("later", "earlier")
+        .distinct()
+        .join(matched, F.col("later") == F.col("node"), "left_anti")
+        .join(first.select("later", "earlier"), ["later", "earlier"], "left_anti"),
+        "held",
+    )
+    if not held.isEmpty():
+        second = stored(_matching(held, docs, firsts, percent), "pairs")
+        first = first.union(second)
+        matched = stored(matched.union(_oriented(second.where("same"), firsts)).distinct(), "matched")
     # Lines with more candidates than were tried, and no match among those.
     more = stored(
         candidates.where("earlier is null")
-        .drop("earlier")
+        .drop("earlier", "held")
         .withColumnRenamed("later", "node")
         .distinct()
         .join(matched, "node", "left_anti"),

@@ -569,11 +569,12 @@ def test_texts_of_the_mix_are_shuffled_once_before_their_order(spark):
     assert sum("hashpartitioning(part" in x for x in by_block) <= 2, plan
 
 
-@pytest.mark.parametrize(("tried", "held"), [(1, line_dedup.LONG_RUN), (1, 20), (8, 20)])
-def test_line_dedup_tries_the_rest_in_a_second_round(spark, line_rows, monkeypatch, tried, held):
+@pytest.mark.parametrize(("most", "run"), [((1, 1), line_dedup.LONG_RUN), ((1, 2), 20), ((3, 8), line_dedup.LONG_RUN)])
+def test_line_dedup_tries_the_rest_in_a_second_round(spark, line_rows, monkeypatch, most, run):
     monkeypatch.setattr(line_dedup, "NEAREST", 1)
-    monkeypatch.setattr(line_dedup, "TRIED", tried)
-    monkeypatch.setattr(line_dedup, "LONG_RUN", held)
+    monkeypatch.setattr(line_dedup, "TRIED", 1)
+    monkeypatch.setattr(line_dedup, "HELD", most)
+    monkeypatch.setattr(line_dedup, "LONG_RUN", run)
     monkeypatch.setattr(line_dedup, "WIDE_FROM", 10)
     gone = brute_lines(line_rows, line_dedup.PERCENT)
     df = frame(spark, line_rows).repartition(5)
