@@ -53,7 +53,7 @@ PERCENT = 80
 # Earlier lines a line is tried with in each token before the others are looked at: this many
 # if the nearest differs in at most a third of the bits a match may differ in, else the latter.
 NEAREST = 2
-TRIED = 32
+TRIED = 4
 # Nearest lines that are tried or held back, in the same two cases.
 HELD = (16, 256)
 # Lines of one token that are compared lag by lag, and that a task holds at most.
@@ -266,6 +266,16 @@ def _nearest(
     return x, y, distance, np.arange(len(x)) - np.searchsorted(x, x)
 
 
+def _limits(
+    size: np.ndarray, distance: np.ndarray, rank: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """How many nearest lines each x (of these sizes) is tried with, and how many with those held back."""
+    best = distance[np.arange(len(rank)) - rank]
+    close = 3 * (100 + percent) * best <= 2 * (100 - percent) * size.astype(np.int64)
+    tried = np.where(close, NEAREST, max(NEAREST, TRIED))
+    return tried, np.maximum(tried, np.where(close, *HELD))
+
+
 def _pairs_in_runs(
     rows: dict[str, np.ndarray], percent: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +283,7 @@ def _pairs_in_runs(
 
     Rows are ordered by key and place. Short runs are compared lag by lag, all at once. In
     longer ones some rows at a time are compared with those whose size is near enough, and
-    of what passes one more than the most ever held back are kept for each.
+    of what passes one more than is tried or held back is kept for each.
     """
     key, size = rows["key"], rows["size"].astype(np.int32)
     # Largest size of a partner: by the length filter, and by the positional one.
@@ -309,8 +319,9 @@ def _pairs_in_runs(
                 & (y[None, :] < x[:, None])
             )
             at, pick = np.nonzero(good)
-            *pairs, rank = _nearest(*_near_enough(rows, x[at], y[pick], percent))
-            found.append(tuple(v[rank <= max(*HELD, TRIED, NEAREST)] for v in pairs))
+            x, y, distance, rank = _nearest(*_near_enough(rows, x[at], y[pick], percent))
+            keep = rank <= _limits(size[x], distance, rank, percent)[1]
+            found.append((x[keep], y[keep], distance[keep]))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -364,10 +375,7 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
     def whole(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = _first_rows(rows)
         x, y, distance, rank = _nearest(*_pairs_in_runs(rows, percent))
-        best = distance[np.arange(len(x)) - rank]
-        close = 3 * (100 + percent) * best <= (100 - percent) * (rows["size"][x] + rows["size"][y])
-        tried = np.where(close, NEAREST, max(NEAREST, TRIED))
-        most = np.maximum(tried, np.where(close, *HELD))
+        tried, most = _limits(rows["size"][x], distance, rank, percent)
         node, now = rows["node"], rank < tried
         later = ~now & (rank < most)
         yield emit(node[x[now]], node[y[now]], 0)
@@ -526,8 +534,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     held = stored(
         candidates.where("held = 1")
         .select("later", "earlier")
-        .distinct()
         .join(matched, F.col("later") == F.col("node"), "left_anti")
+        .distinct()
         .join(first.select("later", "earlier"), ["later", "earlier"], "left_anti"),
         "held",
     )
@@ -540,8 +548,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         candidates.where("earlier is null")
         .drop("earlier", "held")
         .withColumnRenamed("later", "node")
-        .distinct()
-        .join(matched, "node", "left_anti"),
+        .join(matched, "node", "left_anti")
+        .distinct(),
         "more",
     )
     if not more.isEmpty():
