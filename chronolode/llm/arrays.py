@@ -147,9 +147,11 @@ def order_of(row: np.ndarray, code: np.ndarray) -> np.ndarray:
     return order
 
 
-def sets(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, code) pairs, ordered by row and then code."""
-    order = order_of(row, code)
+def sets(
+    row: np.ndarray, code: np.ndarray, by: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, code) pairs, ordered by row and then code, or what stands for it."""
+    order = order_of(row, code if by is None else by)
     row, code = row[order], code[order]
     keep = np.ones(len(row), bool)
     keep[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])

@@ -79,12 +79,21 @@ def prefixes(
     Any fixed order of elements makes prefix filtering exact; rarest first makes it cheap.
     Two matching sets share an element of both prefixes.
     """
-    # A code's leading bits are its counter: the counter's rank replaces them.
-    ranked = (rank[counter_of(code)] << np.uint64(64 - COUNTER_BITS)) | (
+    order = order_of(row, by_rank(code, rank))
+    return prefixes_of(row[order], code[order], size, percent)
+
+
+def by_rank(code: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Elements that sort by rarity: the counter's rank replaces a code's leading bits, its counter."""
+    return (rank[counter_of(code)] << np.uint64(64 - COUNTER_BITS)) | (
         code & np.uint64((1 << (64 - COUNTER_BITS)) - 1)
     )
-    order = order_of(row, ranked)
-    row, code = row[order], code[order]
+
+
+def prefixes_of(
+    row: np.ndarray, code: np.ndarray, size: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``prefixes``, of elements that are ordered by row and rarity."""
     first = np.cumsum(size) - size
     place = np.arange(len(row)) - first[row]
     length = size - -(-size * percent // 100) + 1

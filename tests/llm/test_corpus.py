@@ -607,3 +607,25 @@ def test_copies_of_a_line_do_not_make_it_one_with_more_candidates(spark):
     found = line_dedup._candidates(line_dedup._tokens(df, ranks, 80), 80).collect()
     assert node not in {r.later for r in found}
     assert {r.doc for r in line_dedup.removed_lines(df).collect()} == {1, 2, 3, 4, 9}
+
+
+def test_tokens_travel_packed(spark):
+    """A row for each prefix token cost more disk than three times the input at 30 GB."""
+    draw = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in draw.integers(0, 10**6, 40)) for _ in range(4000)]
+    df = frame(spark, list(enumerate(texts))).coalesce(1)
+    ranks = np.arange(1 << setjoin.COUNTER_BITS, dtype=np.uint64)
+    rows = line_dedup._tokens(df, ranks, 80).collect()
+    tokens = 4000 * 9
+    assert len(rows) < tokens / 100
+    assert sum(len(r.rows) for r in rows) < 40 * tokens
+
+
+@pytest.mark.parametrize("run", [20, line_dedup.LONG_RUN])
+def test_line_dedup_of_parts_that_are_not_held_whole(spark, line_rows, monkeypatch, run):
+    monkeypatch.setattr(line_dedup, "PACKED_ROWS", (10, 1, 10))
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 30)
+    monkeypatch.setattr(line_dedup, "LONG_RUN", run)
+    gone = brute_lines(line_rows, line_dedup.PERCENT)
+    df = frame(spark, line_rows).repartition(5)
+    assert {tuple(r) for r in line_dedup.removed_lines(df).collect()} == gone
