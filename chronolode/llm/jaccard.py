@@ -14,6 +14,11 @@ separate nothing. The join therefore has two levels of pivots:
    smaller regions, joined again with other pivots (``ROUNDS`` times), and what is left is
    joined pair by pair within the windows of sizes, positions and distances to the pivot.
 
+Before texts travel, the two images of a pair are compared: a shingle flips one bit of its
+set's image, so the differing bits are at most the differing shingles and a pair that cannot
+match is told from an eighth to a quarter of a byte per shingle. Its distance is then known from
+below, which the window around the pivot takes into account.
+
 Every region is split by keys alone and nothing is capped: all links that could join two
 different components are verified on whole texts, so components are exact. Copies are
 collapsed first; shingle counts (for rarity) and everything else cover all documents.
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -56,6 +61,8 @@ PERCENT = 75
 ROUNDS = 3
 # Rows of one region that a task holds at most.
 LONG_RUN = 16_384
+# Bits of the smallest image; larger sets have as many as elements, rounded up to a power of two.
+LEAST_BITS = 64
 
 
 def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -213,36 +220,104 @@ def _members(regions: DataFrame) -> DataFrame:
     )
 
 
+def images_of(row: np.ndarray, code: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Image of each set, in words of 64 bits: whether an odd number of elements falls on a bit."""
+    width = np.full(len(size), LEAST_BITS, np.int64)
+    while (short := width < size).any():
+        width[short] *= 2
+    end = np.cumsum(width)
+    total = int(end[-1]) if len(end) else 0
+    bit = (end - width)[row] + (code & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=total) & 1).astype(np.uint8)
+    offsets = np.concatenate([[0], end // 64]).astype(np.int32)
+    bits = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(bits))
+
+
+def differing(one: Column, two: Column) -> Column:
+    """Bits in which two images differ, one of twice the width folded to the other's.
+
+    Images further apart tell nothing (0); sets of such sizes do not match at 50 percent or more.
+    """
+    words = F.least(F.size(one), F.size(two))
+
+    def word(image: Column, i: Column) -> Column:
+        second = F.when(F.size(image) > words, F.element_at(image, i + words)).otherwise(F.lit(0))
+        return F.element_at(image, i).bitwiseXOR(second)
+
+    return F.when(
+        F.greatest(F.size(one), F.size(two)) <= 2 * words,
+        F.aggregate(
+            F.sequence(F.lit(1), words),
+            F.lit(0),
+            lambda n, i: n + F.bit_count(word(one, i).bitwiseXOR(word(two, i))),
+        ),
+    ).otherwise(F.lit(0))
+
+
+def most_overlap(m: Column, n: Column, one: Column, two: Column) -> Column:
+    """Elements that sets of m and n elements with these images share at most."""
+    return F.least(m, n, F.shiftright(m + n - differing(one, two), 1))
+
+
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text), one text for each of the given nodes; most others stay in their task."""
+    """(node, size, image, text) of the given nodes, once for each task that has it, and few others."""
     bits = may_hold(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
             for part in text_steps(batch):
-                size, node = set_ids(*shingle_sets(part.column("text")), part.num_rows)
-                fresh = []
+                row, code = shingle_sets(part.column("text"))
+                size, node = set_ids(row, code, part.num_rows)
+                fresh = np.zeros(len(size), bool)
                 for i in np.flatnonzero((size > 0) & seen(node, bits)).tolist():
                     name = int(node[i])
                     if name not in met:
                         met.add(name)
-                        fresh.append(i)
-                at = pa.array(fresh, pa.int64())
+                        fresh[i] = True
+                keep = fresh[row]
+                number = np.cumsum(fresh) - 1
+                image = images_of(number[row[keep]], code[keep], size[fresh])
+                text = part.column("text").filter(pa.array(fresh))
                 yield pa.RecordBatch.from_arrays(
-                    [int64(node).take(at), part.column("text").take(at)], names=["node", "text"]
+                    [int64(node[fresh]), pa.array(size[fresh]), image, text],
+                    names=["node", "size", "image", "text"],
                 )
 
+    return docs.select("text").mapInArrow(run, "node long, size long, image array<long>, text string")
+
+
+def _compared(pairs: DataFrame, images: DataFrame, percent: int) -> DataFrame:
+    """(a, b, low, close): what the images tell of each pair.
+
+    ``low`` is a distance that the pair has at least; a pair that is not ``close`` cannot match.
+    """
+    one = images.select(F.col("node").alias("a"), F.col("size").alias("m"), "image")
+    two = images.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("image").alias("other"))
+    either = F.col("m") + F.col("n") - F.col("most")
     return (
-        docs.select("text")
-        .mapInArrow(run, "node long, text string")
-        .join(nodes, "node", "left_semi")
-        .dropDuplicates(["node"])
-    )
+        pairs.join(one, "a")
+        .join(two, "b")
+        .withColumn("most", most_overlap(F.col("m"), F.col("n"), F.col("image"), F.col("other")))
+        .select(
+            "a", "b", (1 - F.col("most") / either).alias("low"),
+            (100 * F.col("most") >= percent * either).alias("close"),
+        )
+    )
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, both, either): overlap and union of each pair, from whole texts."""
+    """(a, b, both, either): overlap and union of each pair, from whole texts.
+
+    Only texts of the pairs leave the task that reads them, but for few others.
+    """
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    bits = may_hold(needed)
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(seen(batch.column("node").to_numpy(), bits)))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
@@ -255,6 +330,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             names=["a", "b", "both", "either"],
         )
 
+    texts = (
+        texts.select("node", "text")
+        .mapInArrow(wanted, "node long, text string")
+        .join(needed, "node", "left_semi")
+        .dropDuplicates(["node"])
+    )
     joined = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b"
     )
@@ -272,15 +353,17 @@ def links_of(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> Data
     members = stored(_members(_regions(docs, ranks, percent)), "members")
     degrees = members.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     texts = stored(_texts(docs, degrees.select("node")), "texts")
+    images = stored(texts.select("node", "size", "image").dropDuplicates(["node"]), "images")
     linked = F.col("both") * 100 >= percent * F.col("either")
-    # Rows still to be joined; "far" is the distance to the region's first pivot, if known.
+    # Rows still to be joined; the distance to the region's first pivot is from "low" to "high".
     active = stored(
         members.join(degrees, "node")
         .withColumn("label", F.col("node"))
-        .withColumn("far", F.lit(None).cast("double")),
+        .withColumn("low", F.lit(0.0))
+        .withColumn("high", F.lit(1.0)),
         "active",
     )
-    tested, links = None, None
+    tested, matched, links = None, None, None
     for turn in range(ROUNDS):
         # The pivot: at first the document met most often, later one (another in each
         # region) of the region's largest group of connected documents.
@@ -317,33 +400,36 @@ def links_of(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> Data
             .distinct()
         )
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = stored(_verified(pairs, texts), "found")
-        tested = found if tested is None else tested.unionByName(found)
-        links = tested.where(linked).select("a", "b")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        compared = stored(_compared(pairs, images, percent), "compared")
+        found = stored(_verified(compared.where("close").select("a", "b"), texts), "found")
+        tried = compared.select("a", "b")
+        tested = tried if tested is None else tested.unionByName(tried)
+        matched = found if matched is None else matched.unionByName(found)
+        links = matched.where(linked).select("a", "b")
         labels = labels_of(links, rounds=2)
         if turn == 0:
-            far = found.select(
+            distance = 1 - F.col("both") / F.col("either")
+            far = compared.join(found, ["a", "b"], "left").select(
                 F.col("a").alias("fa"), F.col("b").alias("fb"),
-                (1 - F.col("both") / F.col("either")).alias("distance"),
+                F.coalesce(distance, "low").alias("least"), F.coalesce(distance, F.lit(1.0)).alias("most"),
             )
+            at_pivot = F.col("node") == F.col("pivot")
             active = (
-                active.drop("far")
-                .join(first.select("key", "pivot"), "key")
+                active.join(first.select("key", "pivot"), "key")
                 .join(
                     far,
                     (F.least("node", "pivot") == F.col("fa"))
                     & (F.greatest("node", "pivot") == F.col("fb")),
                     "left",
                 )
-                .withColumn(
-                    "far", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance"))
-                )
-                .select("key", "node", "size", "left", "degree", "label", "far")
+                .withColumn("low", F.when(at_pivot, 0.0).otherwise(F.coalesce("least", "low")))
+                .withColumn("high", F.when(at_pivot, 0.0).otherwise(F.coalesce("most", "high")))
+                .select("key", "node", "size", "left", "degree", "label", "low", "high")
             )
         active = active.withColumnRenamed("label", "before").join(labels, "node", "left").select(
             "key", "node", "size", "left", "degree",
-            F.coalesce("label", "before").alias("label"), "far",
+            F.coalesce("label", "before").alias("label"), "low", "high",
         )
         # Regions whose documents are all connected are done.
         open_regions = (
@@ -353,8 +439,10 @@ def links_of(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> Data
             .select("key")
         )
         active = stored(active.join(open_regions, "key", "left_semi"), "active")
+    active = active.join(images.select("node", "image"), "node")
     x, y = active.alias("x"), active.alias("y")
     radius = 1 - percent / 100 + 1e-9
+    most = most_overlap(F.col("x.size"), F.col("y.size"), F.col("x.image"), F.col("y.image"))
     rest = (
         x.join(
             y,
@@ -363,12 +451,15 @@ def links_of(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> Data
             & (F.col("x.label") != F.col("y.label"))
             & may_match(F.col("x.size"), F.col("x.left"), F.col("y.size"), F.col("y.left"), percent)
             # Triangle inequality around the region's first pivot.
-            & (F.coalesce(F.abs(F.col("x.far") - F.col("y.far")), F.lit(0.0)) <= radius),
+            & (F.greatest(F.col("x.low") - F.col("y.high"), F.col("y.low") - F.col("x.high")) <= radius)
+            # "most" only once: Spark would work it out first, for all pairs of a region.
+            & ((100 + percent) * most >= percent * (F.col("x.size") + F.col("y.size"))),
         )
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        .join(tested, ["a", "b"], "left_anti")
     )
+    rest = stored(rest, "rest")
     found = stored(_verified(rest, texts), "found")
     return links.unionByName(found.where(linked).select("a", "b"))
 

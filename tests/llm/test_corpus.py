@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from chronolode.llm import curriculum, decontamination, jaccard, line_dedup, lm, pii, setjoin
 from chronolode.llm.common import table
@@ -112,6 +113,43 @@ def test_one_of_each_group_stays(spark, corpus):
     assert jaccard.components(df.limit(0)).count() == 0
 
 
+def test_images_never_differ_in_more_bits_than_their_sets(spark):
+    """Sets of all sizes and overlaps; wide images are folded to narrow ones."""
+    draw = np.random.default_rng(6)
+    code = draw.integers(0, 2**64, 4000, dtype=np.uint64)
+    one = [code[:n] for n in (1, 64, 65, 300, 3000, 3000, 70, 0, 900)]
+    two = [code[k : k + n] for k, n in ((0, 1), (1, 64), (3, 60), (40, 300), (100, 3900), (3000, 900), (0, 64), (5, 9), (0, 900))]
+
+    def image(sets):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        return jaccard.images_of(row, np.concatenate(sets), np.array([len(s) for s in sets])).to_pylist()
+
+    rows = [(i, len(a), len(b), *x) for i, (a, b, *x) in enumerate(zip(one, two, image(one), image(two)))]
+    df = spark.createDataFrame(rows, "i int, m int, n int, x array<long>, y array<long>")
+    differ = jaccard.differing(F.col("x"), F.col("y"))
+    most = jaccard.most_overlap(F.col("m"), F.col("n"), F.col("x"), F.col("y"))
+    for i, bits, overlap in df.select("i", differ, most).collect():
+        real = len(np.setxor1d(one[i], two[i]))
+        assert bits <= real and overlap >= len(np.intersect1d(one[i], two[i]))
+        # Images of 4,096 and 1,024 bits (or fewer) are not compared.
+        assert bits >= real / 3 or i == 5
+
+
+def test_texts_of_far_pairs_do_not_travel(spark, monkeypatch):
+    """Documents that share one of their passages are told apart by their images."""
+    draw = random.Random(9)
+    passages = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(24)]
+    rows = [(i, " ".join(draw.sample(passages, 6))) for i in range(40)]
+    family = [f"w{draw.randrange(4000)}" for _ in range(200)]
+    rows += [(100 + k, near_copies(draw, family, k % 3)) for k in range(6)]
+    sent, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, texts: sent.append(pairs.count()) or verified(pairs, texts))
+    want, _, _ = brute_components(rows, 75)
+    assert sorted(tuple(r) for r in jaccard.components(frame(spark, rows)).collect()) == sorted(want)
+    # Six copies of one family make at most 15 pairs; the others make none.
+    assert 0 < sum(sent) <= 15
+
+
 def test_labels_are_components(spark):
     draw = random.Random(1)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(900, 960)]
