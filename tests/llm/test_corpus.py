@@ -571,6 +571,20 @@ def test_training_order_follows_the_schedules(spark):
         assert half[source] / whole == pytest.approx(0.5 - slope / 4, abs=0.12)
 
 
+def test_mix_query_gives_rows_in_the_order_of_the_schedules(spark, monkeypatch):
+    """The query's rows come as training first takes them, so its schedules show in its result."""
+    mix = lambda: [tuple(r) for r in QUERIES["op9_curriculum_mix"](spark, "/root/testdata/sf0.01").collect()]
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    plan = curriculum.mixture(docs).collect()
+    first = {r.doc_id: (not r.positions, *r.positions[:1], r.doc_id) for r in plan}
+    rows = mix()
+    assert [r[0] for r in rows] == sorted(first, key=first.get)
+    assert {r[0]: r[4:] for r in rows} == {r.doc_id: (r.taken, len(r.positions)) for r in plan}
+    monkeypatch.setattr(curriculum, "SLOPES", (0.5, 0.0, -0.5))
+    other = mix()
+    assert other != rows and sorted(other) == sorted(rows)
+
+
 def test_bitmaps_tell_long_lines_apart():
     """Unrelated lines of 100 words pass a bitmap of 64 bits often, the wider one hardly ever."""
     draw = np.random.default_rng(3)
